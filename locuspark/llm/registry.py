@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "sharding", "mixing"]
+MODULES = ["minhash", "sharding", "mixing", "pieces", "tokenbin"]
 
 
 def queries() -> dict:

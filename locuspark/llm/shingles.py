@@ -11,7 +11,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in ra
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, 1 << 16), base, dtype=np.uint64)
@@ -20,14 +20,14 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
 #: One random 64-bit value for each byte.
-BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(MULTIPLIER))
 
 
 def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
@@ -51,9 +51,9 @@ def shingle_hashes(text: str | None, words: int = 5) -> np.ndarray:
     else:
         starts, ends = starts[:1], ends[-1:]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTES[data] * _power(MULTIPLIER, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(INVERSE, n)[starts]
-    return np.unique(_mix(h + (ends - starts).astype(np.uint64)))
+    np.cumsum(BYTES[data] * power(MULTIPLIER, n), out=sums[1:])
+    h = (sums[ends] - sums[starts]) * power(INVERSE, n)[starts]
+    return np.unique(mix(h + (ends - starts).astype(np.uint64)))
 
 
 def set_digest(hashes: np.ndarray) -> bytes:
