@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["minhash", "sharding", "mixing", "pieces", "tokenbin"]
+MODULES = ["langid", "minhash", "mixing", "pieces", "secret_scan", "sharding", "tokenbin"]
 
 
 def queries() -> dict:

@@ -149,8 +149,8 @@ def write_tokens(docs: DataFrame, uri: str, vocabulary: str, parts: int | None =
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    written = ordered.mapInArrow(_writer(_local(uri), vocabulary), "part int, docs long, tokens long, bits int").collect()
-    held = spark.createDataFrame(written, "part int, docs long, tokens long, bits int").coalesce(1)
+    written = ordered.mapInArrow(_writer(_local(uri), vocabulary), "part long, docs long, tokens long, bits long").collect()
+    held = spark.createDataFrame(written, "part long, docs long, tokens long, bits long").coalesce(1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumns(
         {"base": F.coalesce(F.sum("tokens").over(before), F.lit(0)), "first": F.coalesce(F.sum("docs").over(before), F.lit(0))}
