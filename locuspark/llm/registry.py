@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["langid", "minhash", "mixing", "pieces", "secret_scan", "sharding", "tokenbin", "topk", "vectors"]
+MODULES = ["langid", "minhash", "mixing", "pieces", "secret_scan", "sharding", "token_counts", "tokenbin", "topk", "vectors"]
 
 
 def queries() -> dict:
