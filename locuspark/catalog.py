@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
 FLAGSHIP = "base_counts"
+MODULES = ["loci_queries"]
+
+
+def _gather(what: str) -> dict:
+    return {k: v for m in MODULES for k, v in getattr(import_module(f"locuspark.plans.{m}"), what).items()}
 
 
 def queries() -> dict:
-    return {}
+    return _gather("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return _gather("ORACLES")
