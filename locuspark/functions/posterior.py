@@ -61,30 +61,36 @@ def step_bounds(trials: np.ndarray, wins: np.ndarray, confidence: float) -> tupl
     return both[:, 0], both[:, 1]
 
 
-def compare(alpha1, alpha2, min_dist: float, confidence: float, max_points: int, block: int = 16) -> tuple[str, int, int, float, float]:
-    """state, trials, successes, lower and upper bound for two parameter tuples.
+def compare_all(pairs, min_dist: float, confidence: float, max_points: int, block: int = 16) -> list[tuple[str, int, int, float, float]]:
+    """state, trials, successes, lower and upper bound for each pair of parameter tuples.
 
     A success is a pair of points closer than min_dist. Bounds are checked every STEP points
-    until the interval is narrow, or narrower where it leaves a change possible; points are
-    made and checked `block` steps at a time.
+    until the interval is narrow, or narrower where it leaves a change possible. Points come
+    `block` steps at a time, and the bounds of all pairs still open are found together.
     """
     loose, tight = 1 - confidence, 0.2 * (1 - confidence)
-    rng1, rng2 = generator(alpha1), generator(alpha2)
-    n = s = 0
-    lo, hi = 0.0, 1.0
-    while n < max_points:
+    makers = [(generator(a), generator(b)) for a, b in pairs]
+    now = [(0, 0, 0.0, 1.0)] * len(makers)
+    open_ = list(range(len(makers)))
+    n = 0
+    while open_ and n < max_points:
         count = min(block * STEP, max_points - n)
-        gap = ((dirichlet(rng1, alpha1, count) - dirichlet(rng2, alpha2, count)) ** 2).sum(axis=1) < min_dist**2
         trials = n + STEP * np.arange(1, count // STEP + 1)
-        wins = s + np.cumsum(gap.reshape(-1, STEP).sum(axis=1))
-        low, high = step_bounds(trials, wins, confidence)
-        done = np.flatnonzero(high - low <= np.where(tags(low, confidence) == 0, tight, loose))
-        at = done[0] if len(done) else len(trials) - 1
-        n, s, lo, hi = int(trials[at]), int(wins[at]), float(low[at]), float(high[at])
-        if len(done):
-            break
-    ends = tags(np.array([lo, hi]), confidence)
-    return state(int(ends[0]), int(ends[1])), n, s, lo, hi
+        wins = []
+        for i in open_:
+            (one, two), (rng1, rng2) = pairs[i], makers[i]
+            near = ((dirichlet(rng1, one, count) - dirichlet(rng2, two, count)) ** 2).sum(axis=1) < min_dist**2
+            wins.append(now[i][1] + np.cumsum(near.reshape(-1, STEP).sum(axis=1)))
+        low, high = (x.reshape(len(open_), -1) for x in step_bounds(np.tile(trials, len(open_)), np.concatenate(wins), confidence))
+        done = high - low <= np.where(tags(low, confidence) == 0, tight, loose)
+        still = []
+        for k, i in enumerate(open_):
+            at = int(done[k].argmax()) if done[k].any() else len(trials) - 1
+            now[i] = (int(trials[at]), int(wins[k][at]), float(low[k][at]), float(high[k][at]))
+            if not done[k].any():
+                still.append(i)
+        open_, n = still, n + count
+    return [(state(*(int(t) for t in tags(np.array([lo, hi]), confidence))), n, s, lo, hi) for n, s, lo, hi in now]
 
 
 def rank_quantiles(values: np.ndarray, quantiles) -> list[float]:

@@ -70,7 +70,8 @@ def key_states(keys: DataFrame, config: DistConfig) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [P.compare(np.array(a) + config.prior, np.array(b) + config.prior, config.threshold, config.confidence, config.points) for a, b in zip(pdf.c1, pdf.c2)]
+            both = [(np.array(a) + config.prior, np.array(b) + config.prior) for a, b in zip(pdf.c1, pdf.c2)]
+            rows = P.compare_all(both, config.threshold, config.confidence, config.points)
             out = pd.DataFrame(rows, columns=["state", "n_trials", "n_success", "lo", "hi"])
             yield pd.concat([pdf.reset_index(drop=True), out], axis=1)
 
