@@ -119,9 +119,11 @@ def mates(spark, sf):
 
 
 MATES_SQL = f"""{R}, m AS (
-  SELECT CAST(fragment AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS fragment, qname, pos % 16 AS pos, cigar, seq, qual FROM reads
-), n AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY qname) AS up, row_number() OVER (PARTITION BY fragment ORDER BY qname DESC) AS down, count(*) OVER (PARTITION BY fragment) AS k FROM m),
-a AS (SELECT * FROM n WHERE up = 1 AND k > 1), b AS (SELECT * FROM n WHERE down = 1 AND k > 1),
+  SELECT CAST(fragment AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS fragment, qname, sample, pos % 16 AS pos, cigar, seq, qual, strand FROM reads
+), n AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY qname, sample, pos, cigar, seq, qual, strand) AS up,
+  row_number() OVER (PARTITION BY fragment ORDER BY qname DESC, sample DESC, pos DESC, cigar DESC, seq DESC, qual DESC, strand DESC) AS down, count(*) OVER (PARTITION BY fragment) AS k FROM m),
+x0 AS (SELECT * FROM n WHERE up = 1 AND k > 1), y0 AS (SELECT * FROM n WHERE down = 1 AND k > 1),
+a AS (SELECT x0.* FROM x0 JOIN y0 USING (fragment) WHERE x0.qname < y0.qname), b AS (SELECT y0.* FROM x0 JOIN y0 USING (fragment) WHERE x0.qname < y0.qname),
 calls AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 OFFSET_SQL = MATES_SQL + CIGAR_SQL.removeprefix(CALLS_SQL).replace("SELECT c.*, w.op", "SELECT c.fragment, c.up = 1 AS first, w.op") + """,
 v AS (
