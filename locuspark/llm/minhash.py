@@ -55,20 +55,29 @@ def _matrix(column) -> np.ndarray:
     return out
 
 
+def run_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of neighbouring values in each sketch, and which of them are real.
+
+    A sketch shorter than a run is one key.
+    """
+    s = sketches.astype(np.uint64)
+    runs = s[:, : K - RUN + 1].copy()
+    for j in range(1, RUN):
+        runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (runs >> np.uint64(29)) ^ s[:, j : K - RUN + 1 + j]
+    whole = s[:, RUN - 1 : K] != np.uint64(EMPTY)
+    whole[:, 0] = True
+    return runs.view(np.int64), whole
+
+
 def _keys(batches):
-    """(key, id, size) for each run of neighbouring retained values; a short sketch is one run."""
+    """(key, id, size) for each run of neighbouring retained values."""
     for batch in batches:
-        s = _matrix(batch.column("sketch")).astype(np.uint64)
-        runs = s[:, : K - RUN + 1].copy()
-        for j in range(1, RUN):
-            runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (runs >> np.uint64(29)) ^ s[:, j : K - RUN + 1 + j]
-        whole = s[:, RUN - 1 : K] != np.uint64(EMPTY)
-        whole[:, 0] = True
+        runs, whole = run_keys(_matrix(batch.column("sketch")))
         row, _ = np.nonzero(whole)
         ids = np.asarray(batch.column("id").to_numpy(zero_copy_only=False))
         sizes = np.asarray(batch.column("n").to_numpy(zero_copy_only=False))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(runs[whole].view(np.int64)), pa.array(ids[row]), pa.array(sizes[row])], names=["key", "id", "n"]
+            [pa.array(runs[whole]), pa.array(ids[row]), pa.array(sizes[row])], names=["key", "id", "n"]
         )
 
 
@@ -95,22 +104,30 @@ def _cross(batches):
     """Pairs of a list's tile in different components whose sketches overlap enough.
 
     Rows come sorted by list and tile; one tile pair, of at most about 2 * TILE rows, is held.
+    A pair that shares several lists is looked at in the one with the smallest key alone.
     """
     held, name = [], None
 
     def pairs(parts):
         x = pa.Table.from_batches(parts)
         ids, comp, n, side = (x.column(c).to_numpy() for c in ("id", "component", "n", "side"))
-        s = None
+        s, key = None, x.column("key")[0].as_py()
         for i in range(len(ids)):
             j = np.arange(i + 1, len(ids)) if side[i] == 2 else np.flatnonzero(side == 1) if side[i] == 0 else ()
             if not len(j):
                 continue
             j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i]))]
             if len(j):
-                s = _matrix(x.column("sketch").combine_chunks()) if s is None else s
-                for k in range(0, len(j), 4096):
-                    part = j[k : k + 4096]
+                if s is None:
+                    s = _matrix(x.column("sketch").combine_chunks())
+                    runs, whole = run_keys(s)
+                    # Only keys below the list's own could be a smaller one that a pair shares.
+                    lower = whole & (runs < key)
+                mine = runs[i][lower[i]]
+                for k in range(0, len(j), 1024):
+                    part = j[k : k + 1024]
+                    if len(mine):
+                        part = part[~((runs[part][:, :, None] == mine[None, None, :]) & lower[part][:, :, None]).any(axis=(1, 2))]
                     part = part[overlap(np.repeat(s[i : i + 1], len(part), axis=0), s[part]) >= LEAST]
                     if len(part):
                         yield pa.RecordBatch.from_arrays(
