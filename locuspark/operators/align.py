@@ -78,23 +78,22 @@ def majority_base(a: Column, c: Column, g: Column, t: Column) -> Column:
     return F.when(a == top, "A").when(c == top, "C").when(g == top, "G").otherwise("T")
 
 
-def quality_histogram(bqs: DataFrame, bases: DataFrame) -> DataFrame:
+def quality_histogram(calls: DataFrame, min_qual: int = 5) -> DataFrame:
     """n_loci for each pair of binned quality profiles: major_0 .. major_8, minor_0 .. minor_8.
 
     The major base of a locus is the majority among good qualities; all other calls, also
-    ambiguous ones, are minor.
+    ambiguous ones, are minor. One aggregate a locus counts every (base, bin), so calls are
+    read and shuffled once; the majority then only picks among its columns.
     """
-    keys = ["sample", "tid", "pos"]
-    major = bases.select(*keys, majority_base(*[F.col(b.lower()) for b in BASES]).alias("major"))
-    bin_ = quality_bin(F.col("qual"))
-    cells = [
-        F.sum(F.when((bin_ == i) & ((F.col("base") == F.col("major")) == (kind == "major")), F.col("ct")).otherwise(0)).alias(f"{kind}_{i}")
-        for kind in ("major", "minor")
-        for i in range(9)
-    ]
-    profiles = bqs.join(major, keys).groupBy(*keys).agg(*cells)
-    names = [f"{kind}_{i}" for kind in ("major", "minor") for i in range(9)]
-    return profiles.groupBy(*names).agg(F.count("*").alias("n_loci"))
+    keys, bins = ["sample", "tid", "pos"], range(9)
+    base, bin_ = F.col("base"), quality_bin(F.col("qual"))
+    cells = [F.count(F.when((base == b) & (bin_ == i), 1)).alias(f"{b}{i}_") for b in BASES for i in bins]
+    whole = [F.count(F.when(bin_ == i, 1)).alias(f"all{i}_") for i in bins]
+    good = [F.count(F.when((base == b) & (F.col("qual") >= min_qual), 1)).alias(f"{b}_") for b in BASES]
+    loci = calls.groupBy(*keys).agg(*cells, *whole, *good).withColumn("major", majority_base(*[F.col(f"{b}_") for b in BASES]))
+    major = lambda i: F.coalesce(*[F.when(F.col("major") == b, F.col(f"{b}{i}_")) for b in BASES])
+    profiles = loci.select(*[major(i).alias(f"major_{i}") for i in bins], *[(F.col(f"all{i}_") - major(i)).alias(f"minor_{i}") for i in bins])
+    return profiles.groupBy(*profiles.columns).agg(F.count("*").alias("n_loci"))
 
 
 def sample_pairs(counts: DataFrame, pairs: DataFrame, columns: list[str]) -> DataFrame:

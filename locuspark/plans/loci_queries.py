@@ -166,7 +166,7 @@ def _majority(spark, sf):
 
 
 def _pstats(spark, sf):
-    return align.quality_histogram(bqs(spark, sf), bases(spark, sf))
+    return align.quality_histogram(calls(spark, sf))
 
 
 def paired(spark, sf):
