@@ -5,8 +5,10 @@ neighbouring retained values is a key of an inverted list. Documents with a Jacc
 similarity of 0.75 share, value by value, three quarters of the bottom of their union, and
 values next to each other there that both hold are next to each other in both sketches: the
 chance that two such documents meet in no list is below 0.75 ** 62, about 2e-8. The union
-sketch then estimates the similarity; pairs under 0.4 go (a pair at 0.75 goes with a chance
-below 3e-8); the others are compared on their full sets.
+sketch then estimates the similarity, first from K values, then from WIDE: pairs under 0.4 or
+0.55 go (a pair at 0.75 goes with a chance below 5e-8). Where both sketches hold their whole
+sets, what they say is exact and only pairs near 0.75 or above stay. Those are compared on
+their full sets.
 
 Lists may be long, so pairs within a list are not spelled out. First each member meets only
 the smallest document of its list. What these links leave in different components meets in a
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from locuspark.llm.common import components, if_bounded, stash, table
 from locuspark.llm.shingles import set_digest, shingle_hashes
 
-K, RUN, LEAST, TILE = 64, 3, 0.4, 2048
+#: Retained values that make lists, and values of a whole sketch; values in a run; how far an
+#: estimate from either may fall short of the similarity asked for; the elements that hash
+#: collisions may cost a complete sketch.
+K, WIDE, RUN, GAP, WIDE_GAP, SLACK, TILE = 64, 192, 3, 0.35, 0.2, 2, 2048
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -39,7 +44,7 @@ def _sketches(words: int):
                 h = shingle_hashes(text, words)
                 sizes.append(len(h))
                 digests.append(set_digest(h))
-                sketches.append((h[:K] >> np.uint64(32)).astype("<u4").tobytes())
+                sketches.append((h[:WIDE] >> np.uint64(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary())],
                 names=["doc_id", "n_shingles", "digest", "sketch"],
@@ -49,7 +54,7 @@ def _sketches(words: int):
 
 
 def _matrix(column) -> np.ndarray:
-    out = np.full((len(column), K), EMPTY, np.uint32)
+    out = np.full((len(column), WIDE), EMPTY, np.uint32)
     for row, raw in zip(out, column.to_pylist()):
         row[: len(raw) // 4] = np.frombuffer(raw, "<u4")
     return out
@@ -60,7 +65,7 @@ def run_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A sketch shorter than a run is one key.
     """
-    s = sketches.astype(np.uint64)
+    s = sketches[:, :K].astype(np.uint64)
     runs = s[:, : K - RUN + 1].copy()
     for j in range(1, RUN):
         runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (runs >> np.uint64(29)) ^ s[:, j : K - RUN + 1 + j]
@@ -81,26 +86,41 @@ def _keys(batches):
         )
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Similarity that the union sketch of each pair of rows estimates."""
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Common and all values among the smallest of each pair's union, as many as a sketch has."""
+    k = a.shape[1]
     both = np.sort(np.concatenate((a, b), axis=1), axis=1)
     same = np.zeros(both.shape, bool)
     same[:, 1:] = both[:, 1:] == both[:, :-1]
     real = both != EMPTY
-    rank = np.cumsum(~same & real, axis=1)
-    inside = real & (rank <= K)
-    return (same & inside).sum(axis=1) / np.maximum((~same & inside).sum(axis=1), 1)
+    inside = real & ((np.cumsum(~same & real, axis=1) <= k) | ((a[:, -1:] == EMPTY) & (b[:, -1:] == EMPTY)))
+    return (same & inside).sum(axis=1), (~same & inside).sum(axis=1)
 
 
-def _estimate(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.slice(at, 4096)
-            keep = overlap(_matrix(part.column("sa")), _matrix(part.column("sb"))) >= LEAST
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of sketches may belong to sets as similar as `percent`."""
+    common, union = overlap(a[:, :K], b[:, :K])
+    keep = common >= (percent / 100 - GAP) * union
+    at = np.flatnonzero(keep)
+    x, y = a[at], b[at]
+    common, union = overlap(x, y)
+    whole = (x[:, -1] == EMPTY) & (y[:, -1] == EMPTY)
+    keep[at] = np.where(whole, 100 * (common + SLACK) >= percent * (union - SLACK), common >= (percent / 100 - WIDE_GAP) * union)
+    return keep
+
+
+def _estimate(percent: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                keep = alike(_matrix(part.column("sa")), _matrix(part.column("sb")), percent)
+                yield part.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
 
 
-def _cross(batches):
+def _cross(batches, percent: int):
     """Pairs of a list's tile in different components whose sketches overlap enough.
 
     Rows come sorted by list and tile; one tile pair, of at most about 2 * TILE rows, is held.
@@ -116,7 +136,7 @@ def _cross(batches):
             j = np.arange(i + 1, len(ids)) if side[i] == 2 else np.flatnonzero(side == 1) if side[i] == 0 else ()
             if not len(j):
                 continue
-            j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & (100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i]))]
+            j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i]))]
             if len(j):
                 if s is None:
                     s = _matrix(x.column("sketch").combine_chunks())
@@ -128,7 +148,7 @@ def _cross(batches):
                     part = j[k : k + 1024]
                     if len(mine):
                         part = part[~((runs[part][:, :, None] == mine[None, None, :]) & lower[part][:, :, None]).any(axis=(1, 2))]
-                    part = part[overlap(np.repeat(s[i : i + 1], len(part), axis=0), s[part]) >= LEAST]
+                    part = part[alike(np.repeat(s[i : i + 1], len(part), axis=0), s[part], percent)]
                     if len(part):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.minimum(ids[i], ids[part])), pa.array(np.maximum(ids[i], ids[part]))], names=["a", "b"]
@@ -189,8 +209,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     base = stash(docs.mapInArrow(_sketches(words), "doc_id long, n_shingles long, digest binary, sketch binary"), "sketches")
     named = base.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = stash(named.groupBy("digest").agg(F.min("doc_id").alias("class")), "classes")
-    members = stash(named.join(classes, "digest").select("doc_id", "class", "n_shingles", "sketch"), "members")
-    reps = members.where(F.col("doc_id") == F.col("class")).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").distinct()
+    members = stash(named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class"), "members")
+    mine = (named["digest"] == classes["digest"]) & (named["doc_id"] == classes["class"])
+    reps = named.join(classes, mine, "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch")
+    reps = stash(reps.distinct(), "reps")
 
     rows = reps.mapInArrow(_keys, "key long, id long, n long")
     lists = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("first")).where("m > 1")
@@ -201,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     stars = stars.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(
         sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b"
     )
-    stars = stash(stars.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long").distinct(), "stars")
+    stars = stash(stars.select("a", "b", "sa", "sb").mapInArrow(_estimate(percent), "a long, b long").distinct(), "stars")
     links = _verified(docs, stars, words, percent)
 
     parts = stash(components(links), "parts")
@@ -223,7 +245,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
         )
     )
     dealt = open_rows.repartition("key", "ti", "tj").sortWithinPartitions("key", "ti", "tj", "id")
-    across = dealt.mapInArrow(_cross, "a long, b long").distinct()
+    across = dealt.mapInArrow(lambda batches: _cross(batches, percent), "a long, b long").distinct()
     across = stash(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(docs, across, words, percent)
 
