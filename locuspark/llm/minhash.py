@@ -1,10 +1,13 @@
 """Near-duplicate documents by bottom-k sketches.
 
 One hash function; a sketch keeps the K smallest shingle hashes of a text. Every run of RUN
-neighbouring retained values is a key of an inverted list. Documents with a Jaccard
-similarity of 0.75 share, value by value, three quarters of the bottom of their union, and
-values next to each other there that both hold are next to each other in both sketches: the
-chance that two such documents meet in no list is below 0.75 ** 62, about 2e-8. The union
+neighbouring retained values is a key of an inverted list, and in sets of at most SHORT values
+so is every single value. Documents with a Jaccard similarity of 0.75 share, value by value,
+three quarters of the bottom of their union, and values next to each other there that both
+hold are next to each other in both sketches. Unions of up to 8 values may have no such run;
+both sets are short then and meet in the list of any value they share. Unions of 9 to K values
+always have one, as what u / 4 values part into runs below RUN is at most u / 2 + 2. In larger
+unions the chance of none at the bottom is below 0.75 ** 62, about 2e-8. The union
 sketch then estimates the similarity, first from K values, then from WIDE: pairs under 0.4 or
 0.55 go (a pair at 0.75 goes with a chance below 5e-8). Where both sketches hold their whole
 sets, what they say is exact and only pairs near 0.75 or above stay. Those are compared on
@@ -29,10 +32,11 @@ from pyspark.sql import functions as F
 from locuspark.llm.common import components, if_bounded, stash, table
 from locuspark.llm.shingles import set_digest, shingle_hashes
 
-#: Retained values that make lists, and values of a whole sketch; values in a run; how far an
+#: Retained values that make lists, and values of a whole sketch; values in a run; the largest
+#: sets whose single values make lists too; how far an
 #: estimate from either may fall short of the similarity asked for; the elements that hash
 #: collisions may cost a complete sketch.
-K, WIDE, RUN, GAP, WIDE_GAP, SLACK, TILE = 64, 192, 3, 0.35, 0.2, 2, 2048
+K, WIDE, RUN, SHORT, GAP, WIDE_GAP, SLACK, TILE = 64, 192, 3, 10, 0.35, 0.2, 2, 2048
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -63,7 +67,8 @@ def _matrix(column) -> np.ndarray:
 def run_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the runs of neighbouring values in each sketch, and which of them are real.
 
-    A sketch shorter than a run is one key.
+    A sketch shorter than a run is one key. The single values of short sets take the last
+    columns, where such sets have no runs.
     """
     s = sketches[:, :K].astype(np.uint64)
     runs = s[:, : K - RUN + 1].copy()
@@ -71,11 +76,14 @@ def run_keys(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         runs = (runs * np.uint64(0x9E3779B97F4A7C15)) ^ (runs >> np.uint64(29)) ^ s[:, j : K - RUN + 1 + j]
     whole = s[:, RUN - 1 : K] != np.uint64(EMPTY)
     whole[:, 0] = True
+    short = np.flatnonzero(s[:, SHORT] == np.uint64(EMPTY))
+    runs[short, -SHORT:] = (s[short, :SHORT] + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    whole[short, -SHORT:] = s[short, :SHORT] != np.uint64(EMPTY)
     return runs.view(np.int64), whole
 
 
 def _keys(batches):
-    """(key, id, size) for each run of neighbouring retained values."""
+    """(key, id, size) for each run of neighbouring retained values, and each value of short sets."""
     for batch in batches:
         runs, whole = run_keys(_matrix(batch.column("sketch")))
         row, _ = np.nonzero(whole)

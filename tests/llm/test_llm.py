@@ -77,6 +77,19 @@ def test_near_duplicates_against_brute_force(spark, docs):
         assert got[i, len(s)].component_id == top[i] and got[i, len(s)].kept == (top[i] == i)
 
 
+def test_short_near_duplicates_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    rows = []
+    for g in range(150):
+        base = [f"g{g}w{k}" for k in range(r.integers(7, 13))]
+        copy = base[:-1] if g % 3 == 0 else base[1:] if g % 3 == 1 else [*base, f"g{g}x"]
+        rows += [(2 * g, " ".join(base), "en", "s", 1, "m", "n", 1), (2 * g + 1, " ".join(copy), "en", "s", 1, "m", "n", 1)]
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    by_id = [(x[0], sets(x[1])) for x in rows]
+    linked = [(a, b) for i, (a, s) in enumerate(by_id) for b, t in by_id[:i] if 100 * len(s & t) >= 75 * len(s | t)]
+    assert len(linked) > 100 and got == closure([i for i, _ in by_id], linked)
+
+
 def test_near_duplicates_keep_null_ids_and_empty_tables(spark, docs, empty):
     out = minhash.near_duplicates(docs).collect()
     assert len(out) == docs.count() and [x.kept for x in out if x.doc_id is None] == [True]
