@@ -34,9 +34,12 @@ def _distance_table(s, d):
     grid = s.range(0, 12).select(F.array(F.col("id"), F.lit(2), F.lit(0), F.lit(0)).cast("array<bigint>").alias("c1"))
     grid = grid.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(11)))).select("c1", F.array(F.lit(2), F.col("k"), F.lit(0), F.lit(0)).cast("array<bigint>").alias("c2"))
 
+    config = V.CONFIG
+
     def run(batches):
         for pdf in batches:
-            found = P.compare_all([(np.array(a) + 0.1, np.array(b) + 0.1) for a, b in zip(pdf.c1, pdf.c2)], 0.2, 0.99, 512)
+            both = [(np.array(a) + config.prior, np.array(b) + config.prior) for a, b in zip(pdf.c1, pdf.c2)]
+            found = P.compare_all(both, config.threshold, config.confidence, config.points)
             yield pd.DataFrame({"a": [int(c[0]) for c in pdf.c1], "b": [int(c[1]) for c in pdf.c2], "state": [f[0] for f in found]})
 
     return grid.mapInPandas(run, "a int, b int, state string")

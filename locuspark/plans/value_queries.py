@@ -18,8 +18,7 @@ QS = [0.005, 0.05, 0.5, 0.95, 0.995]
 TERMS = [(0, 30, 12), (1, 20, 3), (2, 35, 5), (3, 10, 2)]
 COUNTS, PRIOR = [12, 3, 5, 2], 0.1
 WIDTH, EVERY, PER_UNIT, BINS = 24, 10, 10, 30
-#: Fewer points than the default keep the whole-table queries short; the plan is the same.
-CONFIG = dist.DistConfig(max_points=2000)
+CONFIG = dist.DistConfig()
 PT, D = A.POINTS_SQL, A.DEPTH_SQL
 IDX_SQL = f"{PT}, idx AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS idx FROM points)"
 _D2 = " + ".join(f"(x.p{i} - y.p{i}) * (x.p{i} - y.p{i})" for i in (1, 2, 3, 4))

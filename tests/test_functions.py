@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locuspark.functions import beta, codes
 from locuspark.functions import posterior as P
 from locuspark.operators import align, filters, points, regions, simulate, tally
+from locuspark.plans import dist, extra_queries, value_queries
 from locuspark.plans.dist import DistConfig
 from locuspark.sources import formats
 
@@ -163,3 +164,12 @@ def test_text_and_depth_formats(spark, tmp_path):
     assert got == [("chr1", 1, 1.0), ("chr1", 2, 2.0), ("chr1", 3, 3.0), ("chr2", 1, 4.0), ("chr2", 2, 5.0)]
     (tmp_path / "f.fastq").write_text("@a\nAC\n+\n!J\n@b\nGT\n+\nII\n")
     assert [(r.seq, r.qual) for r in formats.read_fastq(spark, str(tmp_path / "f.fastq")).orderBy("record").collect()] == [("AC", "!J"), ("GT", "II")]
+
+
+def test_comparison_queries_draw_the_default_points(spark):
+    config = dist.DistConfig()
+    assert value_queries.CONFIG == config and config.points == 10_016
+    got = {(x.a, x.b): x.state for x in extra_queries.QUERIES["distance_table"](spark, "").collect()}
+    keys = sorted(got)
+    both = [(np.array([a, 2, 0, 0]) + config.prior, np.array([2, b, 0, 0]) + config.prior) for a, b in keys]
+    assert [got[k] for k in keys] == [x[0] for x in P.compare_all(both, config.threshold, config.confidence, config.points)]
