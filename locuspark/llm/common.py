@@ -48,6 +48,11 @@ def fresh_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def with_row_ids(df: DataFrame, name: str) -> DataFrame:
+    """df, stashed with a number of its own for each row, so that later reads agree on it."""
+    return stash(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def if_bounded(df: DataFrame, key: str, rows: int = 20_000, key_bytes: int = 4 << 20) -> DataFrame:
     """df with a broadcast hint if it is measured to be small, else df as it is.
 

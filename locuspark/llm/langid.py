@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import if_bounded, stash, table
+from locuspark.llm.common import fresh_name, if_bounded, stash, table, with_row_ids
 
 SAMPLE, BINS, EFFECTIVE, MARGIN, HOST_WEIGHT, DOMAIN_WEIGHT = 4000, 1 << 16, 200, 1.5, 10.0, 50.0
 MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,10};")
@@ -174,9 +174,16 @@ def identify_documents(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected; rows with the same id share a rejection."""
-    gone = stash(identify_documents(docs, fit(docs)).where(~F.col("accepted")).select("id").distinct(), "rejected")
-    return docs.join(if_bounded(gone, "id", 1_000_000, 8 << 20), docs["doc_id"].eqNullSafe(gone["id"]), "left_anti")
+    """The rows of docs that are not rejected, each by itself, whatever its id.
+
+    The sample is drawn by id and text, as ids may be null or repeat.
+    """
+    row = fresh_name(docs, "row_")
+    held = with_row_ids(docs, row)
+    model = fit(held.withColumn("doc_id", F.xxhash64("doc_id", "text")))
+    found = identify_documents(held.withColumn("doc_id", F.col(row)), model)
+    gone = stash(found.where(~F.col("accepted")).select("id"), "rejected")
+    return held.join(if_bounded(gone, "id", 1_000_000, 8 << 20), held[row] == gone["id"], "left_anti").select(docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import fresh_name, if_bounded, numbered, stash, table, word_count
+from locuspark.llm.common import fresh_name, if_bounded, numbered, stash, table, with_row_ids, word_count
 
 MOST, SEED = 3, 7
 
@@ -51,32 +51,26 @@ def source_targets(sized: DataFrame) -> DataFrame:
     )
 
 
-def mix_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken for every row of docs."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = numbered(slim, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first())
+def mix_counts(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and carried for every row of docs."""
+    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried)
+    sized = numbered(slim, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), *map(F.col, carried))
     sources = stash(source_targets(sized), "targets")
     rows = sized.join(if_bounded(sources, "source"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     place = F.col("row_number") - F.col("first")
     crossed = F.floor((place + 1) * F.col("rate") + F.col("offset")) - F.floor(place * F.col("rate") + F.col("offset"))
     return rows.withColumn("copies", F.least(crossed, F.ceil("rate")).cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carried
     )
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; columns as in docs.
-
-    Rows alike in doc_id, source and size share the decision of the first of them.
-    """
-    size, copies, again = (fresh_name(docs, c) for c in ("size_", "copies_", "again_"))
-    counts = mix_counts(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).where("copies > 0")
-    counts = counts.select(F.col("doc_id").alias("d_"), F.col("source").alias("s_"), F.col("size").alias("z_"), F.col("copies").alias(copies))
-    sized = docs.withColumn(size, word_count(F.col("text")))
-    joined = sized.join(
-        counts, sized["doc_id"].eqNullSafe(counts["d_"]) & sized["source"].eqNullSafe(counts["s_"]) & (sized[size] == counts["z_"])
-    )
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(again)).drop(again)
+    """The rows of docs, each as often as the mix takes it; columns as in docs."""
+    row, copies, again = (fresh_name(docs, c) for c in ("mix_row_", "copies_", "again_"))
+    held = with_row_ids(docs, row)
+    counts = mix_counts(held, row).where("copies > 0").select(F.col(row).alias("r_"), F.col("copies").alias(copies))
+    joined = held.join(counts, held[row] == counts["r_"])
+    return joined.select(*[held[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))).alias(again)).drop(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
