@@ -1,8 +1,8 @@
 """From raw documents to sampled pieces: five stages, each an operator of locuspark.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
-columns of docs. Empty tables go through. Rows with a null doc_id cannot be told apart by
-id: they share rejections by language, count as no duplicates, and share found secrets.
+columns of docs. Empty tables go through. Ids may be null or repeat: language ID, near dedup
+and mixing decide for each row; rows with the same id, or none, share found secrets.
 """
 
 from __future__ import annotations
@@ -19,17 +19,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates, and one row of it."""
-    judged = common.stash(minhash.near_duplicates(docs), "judged")
-    gone = common.stash(judged.where(~F.col("kept")).select("doc_id").distinct(), "gone")
-    kept = docs.join(common.if_bounded(gone, "doc_id", 1_000_000, 8 << 20), "doc_id", "left_anti").select(docs.columns)
-    twice = judged.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    twice = common.stash(twice, "twice")
-    if twice.isEmpty():
-        return kept
-    single = kept.join(common.if_bounded(twice, "doc_id"), "doc_id", "left_anti").select(docs.columns)
-    merged = kept.join(common.if_bounded(twice, "doc_id"), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("key_"))
-    return single.union(merged.agg(F.min(F.struct(*docs.columns)).alias("row_")).select("row_.*"))
+    """Keeps one row of each group of near duplicates, the one with the smallest doc_id, null last."""
+    row = common.fresh_name(docs, "row_")
+    held = common.with_row_ids(docs, row)
+    judged = common.stash(minhash.near_duplicates(held.select(F.col(row).alias("doc_id"), "text")), "judged")
+    groups = common.stash(judged.where(~F.col("kept")).select("component_id").distinct(), "groups")
+    members = judged.join(common.if_bounded(groups, "component_id"), "component_id", "left_semi").select("component_id", F.col("doc_id").alias("member_"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.col(row)).alias("order_")
+    named = held.select(F.col(row).alias("member_"), order).join(members, "member_")
+    named = common.stash(named, "named")
+    firsts = common.stash(named.groupBy("component_id").agg(F.min("order_").alias("first_")), "firsts")
+    gone = named.join(common.if_bounded(firsts, "component_id"), "component_id").where(F.col("order_") != F.col("first_"))
+    gone = common.stash(gone.select("member_"), "gone")
+    gone = common.if_bounded(gone, "member_", 1_000_000, 8 << 20)
+    return held.join(gone, held[row] == gone["member_"], "left_anti").select(docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
