@@ -1,7 +1,8 @@
 """Secrets in texts: candidates by pattern, false positives removed by a random forest.
 
-A pattern finds what follows a word such as `token =`, known key formats, and other runs of 20
-or more key characters with a digit. Each candidate gets features: length, shares of
+A pattern finds what follows a word such as `token =`, also as a part of a longer name
+(`DB_PASSWORD=`), or `Bearer`, known key formats, private keys through their END line, and other
+runs of 20 or more key characters with a digit. Each candidate gets features: length, shares of
 character kinds, transitions between kinds, distinct characters, coverage by dictionary words,
 signs of a path, and words that stand near it. A random forest, fitted on FINDINGS labelled
 findings that training_findings() makes from a seed, tells secrets from other strings.
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 from locuspark.llm.common import fresh_name, if_bounded, stash, table
 
 FINDINGS, TREES, DEPTH, SEED, MARK = 3000, 20, 7, 5, "\x01"
-NAMED = r"""(?i:\b(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)["']?\s{0,3}[:=]\s{0,3}["']?)"""
+KEY_WORD = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|bearer)"
+NAMED = rf"""(?i:(?<![A-Za-z0-9]){KEY_WORD}(?:[_-][A-Za-z0-9]{{1,20}}){{0,3}}["']?\s{{0,3}}[:=]\s{{0,3}}["']?(?:bearer\s{{1,3}})?|\bbearer\s{{1,3}}["']?)"""
+PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\\\s:,-]*?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
 FORMATS = (
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}"
-    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+|" + PEM
 )
 OTHER = r"(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}+"
-CANDIDATE = rf"""({NAMED})([^\s"'{MARK}]{{6,}}+)|(?<![A-Za-z0-9+/_=-])({FORMATS}|{OTHER})"""
+CANDIDATE = rf"""({NAMED})({PEM}|[^\s"'{MARK}]{{6,}}+)|(?<![A-Za-z0-9+/_=-])({FORMATS}|{OTHER})"""
 DICTIONARY = (
     "about access account admin after api app auth base before book build chapter change class client cloud code commit config content data "
     "date default demo dev digest doc document dummy example false file first foo bar from hash have here home html http https image index "
@@ -114,6 +117,21 @@ def training_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
     def slug() -> str:
         return r.choice("-_/").join([*(r.choice(DICTIONARY) for _ in range(r.randint(3, 6))), str(r.randint(1, 2030))])
 
+    def pem() -> str:
+        kind = r.choice(["RSA ", "EC ", "OPENSSH ", "ENCRYPTED ", ""])
+        return "\n".join([f"-----BEGIN {kind}PRIVATE KEY-----", *(text(b64, 64) for _ in range(r.randint(2, 25))), text(b64, 20, 60) + "==", f"-----END {kind}PRIVATE KEY-----"])
+
+    def short() -> str:
+        found = list(text(alnum, 5, 9) + text(string.digits, 1, 4) + text("!@#$%^&*_-", 0, 2))
+        r.shuffle(found)
+        return "".join(found)
+
+    def long_name() -> str:
+        parts = [r.choice(["db", "app", "my", "admin", "aws", "auth", "user", "client"]), r.choice(["password", "secret", "token", "passwd", "api_key"])]
+        found = r.choice(["_", "-"]).join(r.choice([parts, [parts[1], r.choice(["key", "value", "prod"])]]))
+        return r.choice([found, found.upper()])
+
+    bearer = lambda: r.choice(["Authorization: Bearer ", "authorization: bearer ", 'Authorization": "Bearer '])
     name = lambda: r.choice(["token", "secret", "password", "api_key", "apikey", "access_key", "auth", "passwd", "Bearer"])
     sign = lambda: r.choice([" = ", ": ", "=", ":"])
     quote = lambda: r.choice(['"', "'", ""])
@@ -129,6 +147,10 @@ def training_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
         lambda: (f"{prose()} ", "AIza" + text(alnum + "_-", 35)),
         lambda: (f"{prose()} ", "eyJ" + text(alnum, 20) + "." + text(alnum, 40) + "." + text(alnum, 30)),
         lambda: (f"{prose()} ", r.choice(["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"])),
+        lambda: (f"{prose()} ", pem()),
+        lambda: (f"{long_name()}{sign()}{quote()}", r.choice([short(), text(alnum, 12, 40), hexes(10, 16, 32)])),
+        lambda: (f"{name()}{sign()}{quote()}", short()),
+        lambda: (bearer(), r.choice([short(), text(string.ascii_lowercase, 5, 8) + text(string.digits, 2, 5), hexes(10, 16, 32, 40), text(alnum, 20, 60)])),
     ]
     other = [
         lambda: (f"{prose()} {r.choice(['commit', 'sha256', 'sha1:', 'md5', 'checksum', 'digest'])} ", hexes(32, 40, 64)),
@@ -139,6 +161,8 @@ def training_findings(n: int = FINDINGS, seed: int = SEED) -> list[dict]:
         lambda: (f"{name()}{sign()}{quote()}", r.choice(["your_token_here_1234", "changeme123", "placeholder_secret_1", "example-password-01", "xxxxxxxxxxxxxxxx1", "dummytoken0000"])),
         lambda: (f"{name()}{sign()}{quote()}", r.choice(DICTIONARY) + r.choice("._(") + r.choice(DICTIONARY)),
         lambda: (f"{name()}{sign()}", text(string.ascii_lowercase, 6, 12) + r.choice([",", ".", ""])),
+        lambda: (f"{long_name()}{sign()}{quote()}", r.choice([r.choice(DICTIONARY) + r.choice("._(") + r.choice(DICTIONARY), text(string.ascii_lowercase, 6, 12), "changeme123", "your_password_1"])),
+        lambda: (f"{prose()} bearer ", text(string.ascii_lowercase, 6, 12) + r.choice([",", ".", ""])),
         lambda: (f"{prose()} ", r.choice("0123456789xX=-_") * r.randint(20, 60) + "1"),
         lambda: (f"{prose()} ", text(string.digits, 20, 30)),
         lambda: ("data:image/png;base64,", text(b64, 60, 200)),
