@@ -45,8 +45,9 @@ def reference_bqs(loci: DataFrame) -> DataFrame:
 def pileup_strings(bqs: DataFrame, indels: DataFrame | None = None, min_qual: int = 5) -> DataFrame:
     """sample, tid, pos, ref_base, n_lo, n_hi, n_indel, calls, quals.
 
-    bqs has ref_base. Calls stand in the order of base, quality and strand, then indels,
-    deletions first, by length and sequence; n_lo and n_hi count ambiguous bases too.
+    bqs has ref_base. Calls stand in the order of base, quality and strand, then indels as sign,
+    length and letters, deletions first, by length and sequence; n_lo and n_hi count ambiguous
+    bases too. indels must have the letters of deletions (see tally.indel_sequence).
     """
     keys = ["sample", "tid", "pos", "ref_base"]
     call = F.expr("repeat(call, CAST(ct AS INT))")
@@ -62,7 +63,7 @@ def pileup_strings(bqs: DataFrame, indels: DataFrame | None = None, min_qual: in
     if indels is None:
         return out.select(*keys, "n_lo", "n_hi", F.lit(0).cast("long").alias("n_indel"), strings[0].alias("calls"), strings[1].alias("quals"))
     sign = F.when(F.col("is_ins"), "+").otherwise("-")
-    text = F.repeat(F.concat(sign, F.col("len").cast("string"), F.coalesce("seq", F.lit(""))), F.col("ct").cast("int"))
+    text = F.repeat(F.concat(sign, F.col("len").cast("string"), F.col("seq")), F.col("ct").cast("int"))
     events = indels.groupBy("sample", "tid", "pos").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("is_ins", "len", "seq", text.alias("text")))), lambda x: x["text"]), "").alias("events"),
         F.sum("ct").alias("n_indel"),
@@ -117,6 +118,12 @@ def canonical_pair(one: list[Column], two: list[Column]) -> Column:
     return F.transform(F.sort_array(both, asc=False), lambda x: F.struct(x["c1"].alias("c1"), x["c2"].alias("c2")))
 
 
+def canonical_order(one: list[Column], two: list[Column]) -> Column:
+    """Which base, 0 to 3, stands at each place of canonical_pair(); of equal ones the higher first."""
+    both = F.array(*[F.struct((a + b).alias("total"), a.alias("c1"), b.alias("c2"), F.lit(i).alias("base")) for i, (a, b) in enumerate(zip(one, two))])
+    return F.transform(F.sort_array(both, asc=False), lambda x: x["base"])
+
+
 def canonical_single(counts: list[Column]) -> Column:
     return F.sort_array(F.array(*counts), asc=False)
 

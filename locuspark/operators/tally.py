@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locuspark.operators.sequences import TILE, fetch
+
 LOCUS = ["sample", "tid", "pos"]
 
 
@@ -72,9 +74,15 @@ def count_indels(events: DataFrame) -> DataFrame:
     return events.groupBy(*LOCUS, "is_ins", "len", "seq").agg(F.count("*").alias("ct"))
 
 
-def indel_sequence(indels: DataFrame, contig_seq: DataFrame) -> DataFrame:
-    """Fills the sequence of deletions from contigs (tid, ref)."""
-    return indels.join(contig_seq, "tid").withColumn("seq", F.when(F.col("is_ins"), F.col("seq")).otherwise(F.substr("ref", F.col("pos") + 1, F.col("len")))).drop("ref")
+def indel_sequence(indels: DataFrame, tiles: DataFrame, width: int = TILE) -> DataFrame:
+    """Fills the sequence of deletions from tiles of the reference (see sequences.tiles).
+
+    Each distinct deleted span is fetched once, from the tiles that it touches.
+    """
+    deleted = indels.where(~F.col("is_ins")).select("tid", F.col("pos").alias("beg"), (F.col("pos") + F.col("len")).alias("stop"))
+    found = fetch(deleted, tiles, width).select("tid", F.col("beg").alias("pos"), (F.col("stop") - F.col("beg")).alias("len"), F.lit(False).alias("is_ins"), F.col("seq").alias("gone_"))
+    joined = indels.join(found, ["tid", "pos", "len", "is_ins"], "left").withColumn("seq", F.coalesce("seq", "gone_"))
+    return joined.select(indels.columns)
 
 
 def overlap_offset(pairs: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ QUERIES = {
     "depermute_points": _permuted,
     "ordered_cdf": lambda s, d: lookup.ordered_cdf(A.points(s, d), ["label"], "p1", "w").select("vec_id", F.round("cdf", 6).alias("cdf")),
     "numerical_cdfs": lambda s, d: rows.numerical_cdfs(A.points(s, d), ["p1", "p2", "p3", "p4"], "vec_id"),
-    "pileup_rows": lambda s, d: rows.pileup_rows(L._pileup(s, d), A.contigs(s)),
+    "pileup_rows": lambda s, d: rows.pileup_rows(L._pileup_full(s, d), A.contigs(s)),
     "sparse_depth_rows": lambda s, d: rows.sparse_depth_rows(A.depth(s, d)),
     "composition_rows": lambda s, d: rows.composition_rows(
-        L.with_ref(V._composition(s, d)).join(L._pileup(s, d).select("sample", "tid", "pos", "n_hi", "n_lo", "n_indel"), ["sample", "tid", "pos"]), A.contigs(s), [f"q_{i}" for i in range(5)]
+        L.with_ref(V._composition(s, d)).join(L._pileup_full(s, d).select("sample", "tid", "pos", "n_hi", "n_lo", "n_indel"), ["sample", "tid", "pos"]), A.contigs(s), [f"q_{i}" for i in range(5)]
     ),
     "distance_rows": lambda s, d: rows.distance_rows(L.with_ref(V._distance(s, d)), A.contigs(s), [f"q_{i}" for i in range(5)]),
     "indel_rows": lambda s, d: rows.indel_rows(L.with_ref(V._indel_distance(s, d)), A.contigs(s), [f"q_{i}" for i in range(5)]),
@@ -76,7 +76,7 @@ ORACLES = {
     "depermute_points": f"WITH {A.POINTS_SQL} SELECT vec_id, p3 AS q1, p1 AS q2, p4 AS q3, p2 AS q4, p1, p2, p3, p4 FROM points",
     "ordered_cdf": f"WITH {A.POINTS_SQL} SELECT vec_id, round(sum(w) OVER (PARTITION BY label ORDER BY p1) / sum(w) OVER (PARTITION BY label), 6) AS cdf FROM points",
     "numerical_cdfs": f"WITH {A.POINTS_SQL}, l AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS dim, unnest([p1, p2, p3, p4]) AS value FROM points) SELECT vec_id, dim, value, CAST(row_number() OVER (PARTITION BY dim ORDER BY value, vec_id) - 1 AS INTEGER) AS rank FROM l",
-    "pileup_rows": f"WITH {L.PILE_SQL} SELECT sample, 'chr' || CAST(tid + 1 AS VARCHAR) AS contig, pos + 1 AS pos, ref_base, n_hi, calls, quals FROM pile",
+    "pileup_rows": f"WITH RECURSIVE {L.FULL_SQL} SELECT sample, 'chr' || CAST(tid + 1 AS VARCHAR) AS contig, pos + 1 AS pos, ref_base, n_hi, calls, quals FROM full_pile",
     "sparse_depth_rows": f"WITH {A.DEPTH_SQL} SELECT sample, contig, pos, format('{{:6.4f}}', CAST(depth AS DOUBLE)) AS depth FROM depth WHERE depth <> 0",
     "scalar_helpers": "SELECT l_orderkey, l_linenumber, printf('%d:%02d:%02d', CAST(floor(l_extendedprice) AS BIGINT) // 3600, (CAST(floor(l_extendedprice) AS BIGINT) // 60) % 60, CAST(floor(l_extendedprice) AS BIGINT) % 60) AS elapsed, CAST(l_linenumber AS DOUBLE) AS number, CAST(l_suppkey AS VARCHAR) AS short, CAST(l_partkey % 5 AS INTEGER) AS nt4, 64 AS offset FROM lineitem",
 }

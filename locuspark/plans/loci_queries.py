@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locuspark.functions import codes
-from locuspark.operators import align, filters, regions, tally
+from locuspark.operators import align, filters, regions, sequences, tally
 from locuspark.sources import adapters as A
 
 R, C = A.READS_SQL, A.REGIONS_CLIPPED_SQL
@@ -31,6 +31,8 @@ INDEL_SQL = f"""{CIGAR_SQL}, indels AS (
   SELECT sample, tid, r AS pos, op = 'I' AS is_ins, oplen AS len, CASE WHEN op = 'I' THEN substr(seq, q + 1, oplen) END AS seq, count(*) AS ct
   FROM ops WHERE op IN ('I', 'D') GROUP BY ALL
 )"""
+_GONE = "array_to_string(list_transform(range(pos, pos + len), lambda p: substr('ACGT', CAST((tid * 31 + p * 7) % 4 + 1 AS BIGINT), 1)), '')"
+SPELLED_SQL = f"{INDEL_SQL}, spelled AS (SELECT sample, tid, pos, is_ins, len, CASE WHEN is_ins THEN seq ELSE {_GONE} END AS seq, ct FROM indels)"
 LOCI_SQL = f"""{C}, ends AS (SELECT *, max(stop) OVER (PARTITION BY tid ORDER BY beg, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM regions),
 isles AS (SELECT *, sum(CASE WHEN beg < far THEN 0 ELSE 1 END) OVER (PARTITION BY tid ORDER BY beg, stop) AS island FROM ends),
 merged AS (SELECT tid, min(beg) AS beg, max(stop) AS stop FROM isles GROUP BY tid, island),
@@ -104,10 +106,19 @@ def _cigar_ops(spark, sf):
     return tally.cigar_ops(calls(spark, sf)).groupBy("op", "tid").agg(F.count("*").alias("n"), F.sum("len").alias("bases"), F.sum("q").alias("sum_q"), F.sum("r").alias("sum_r"))
 
 
-def _reified(spark, sf):
+def reference(spark):
+    """Tiles of the reference that the test tables imply."""
     whole = spark.range(A.CONTIGS).select(F.col("id").cast("int").alias("tid"))
     letters = F.transform(F.sequence(F.lit(0), F.lit(A.CONTIG_LENGTH + 49)), lambda p: F.substr(F.lit("ACGT"), (F.col("tid") * 31 + p * 7) % 4 + 1, F.lit(1)))
-    return tally.indel_sequence(indels(spark, sf), whole.select("tid", F.array_join(letters, "").alias("ref"))).groupBy("sample", "is_ins", "len", "seq").agg(F.sum("ct").alias("ct"))
+    return sequences.tiles(whole.select("tid", F.array_join(letters, "").alias("ref")))
+
+
+def spelled_indels(spark, sf):
+    return tally.indel_sequence(indels(spark, sf), reference(spark))
+
+
+def _reified(spark, sf):
+    return spelled_indels(spark, sf).groupBy("sample", "is_ins", "len", "seq").agg(F.sum("ct").alias("ct"))
 
 
 def mates(spark, sf):
@@ -154,7 +165,7 @@ def _pileup(spark, sf):
 
 
 def _pileup_full(spark, sf):
-    return align.pileup_strings(bqs_ref(spark, sf), indels(spark, sf))
+    return align.pileup_strings(bqs_ref(spark, sf), spelled_indels(spark, sf))
 
 
 def _depths(spark, sf):
@@ -210,6 +221,10 @@ def _indel_pairs(spark, sf):
     return align.indel_pairs(indels(spark, sf), A.pairs(spark))
 
 
+def spelled_pairs(spark, sf):
+    return align.indel_pairs(spelled_indels(spark, sf), A.pairs(spark))
+
+
 def _pack(spark, sf):
     b = bqs(spark, sf)
     return b.select("sample", "tid", "pos", "base", "qual", "strand", codes.pack_key(F.col("pos"), F.col("tid"), codes.nt16(F.col("base")), F.col("qual"), F.col("strand")).alias("packed"), "ct")
@@ -219,6 +234,11 @@ _CHAR = "CASE WHEN base = ref_base THEN CASE WHEN strand = 1 THEN '.' ELSE ',' E
 _STRINGS = f"string_agg(repeat({_CHAR}, CAST(ct AS INT)), '' ORDER BY base, qual, strand) AS calls, string_agg(repeat(chr(qual + 33), CAST(ct AS INT)), '' ORDER BY base, qual, strand) AS quals"
 _HILO = "CAST(coalesce(sum(ct) FILTER (WHERE qual < 5), 0) AS BIGINT) AS n_lo, CAST(coalesce(sum(ct) FILTER (WHERE qual >= 5), 0) AS BIGINT) AS n_hi"
 PILE_SQL = f"{BQS_SQL}, pile AS (SELECT sample, tid, pos, ref_base, {_HILO}, {_STRINGS} FROM bqs GROUP BY sample, tid, pos, ref_base)"
+FULL_SQL = f"{SPELLED_SQL}, " + PILE_SQL.removeprefix(f"{CALLS_SQL}, ") + """, e AS (
+  SELECT sample, tid, pos, CAST(sum(ct) AS BIGINT) AS n_indel,
+    string_agg(repeat(CASE WHEN is_ins THEN '+' ELSE '-' END || CAST(length(seq) AS VARCHAR) || seq, CAST(ct AS INT)), '' ORDER BY is_ins, len, seq) AS events FROM spelled GROUP BY sample, tid, pos
+), full_pile AS (SELECT p.sample, p.tid, p.pos, ref_base, n_lo, n_hi, coalesce(n_indel, 0) AS n_indel, calls || coalesce(events, '') AS calls, quals
+  FROM pile p LEFT JOIN e ON p.sample = e.sample AND p.tid = e.tid AND p.pos = e.pos)"""
 _CELLS = ", ".join(
     f"CAST(coalesce(sum(ct) FILTER (WHERE least(qual, 44) // 5 = {i} AND base {'=' if kind == 'major' else '<>'} major), 0) AS BIGINT) AS {kind}_{i}" for kind in ("major", "minor") for i in range(9)
 )
@@ -271,7 +291,7 @@ ORACLES = {
     "cigar_ops": f"WITH RECURSIVE {CIGAR_SQL} SELECT op, tid, count(*) AS n, CAST(sum(oplen) AS BIGINT) AS bases, CAST(sum(q) AS BIGINT) AS sum_q, CAST(sum(r) AS BIGINT) AS sum_r FROM ops GROUP BY op, tid",
     "cigar_explode": f"WITH RECURSIVE {CIGAR_SQL}, b AS (SELECT *, CAST(unnest(range(0, oplen)) AS INTEGER) AS i FROM ops WHERE op IN ('M', '=', 'X')) SELECT sample, tid, r + i AS pos, substr(seq, q + i + 1, 1) AS base, strand, count(*) AS ct FROM b GROUP BY ALL",
     "cigar_indels": f"WITH RECURSIVE {INDEL_SQL} SELECT * FROM indels",
-    "indel_reify": f"WITH RECURSIVE {INDEL_SQL}, f AS (SELECT sample, is_ins, len, ct, CASE WHEN is_ins THEN seq ELSE array_to_string(list_transform(range(pos, pos + len), lambda p: substr('ACGT', CAST((tid * 31 + p * 7) % 4 + 1 AS BIGINT), 1)), '') END AS seq FROM indels) SELECT sample, is_ins, len, seq, CAST(sum(ct) AS BIGINT) AS ct FROM f GROUP BY ALL",
+    "indel_reify": f"WITH RECURSIVE {SPELLED_SQL} SELECT sample, is_ins, len, seq, CAST(sum(ct) AS BIGINT) AS ct FROM spelled GROUP BY ALL",
     "tally_bqs": f"WITH {CALLS_SQL} SELECT sample, tid, pos, base, qual, strand, count(*) AS ct FROM calls GROUP BY ALL",
     "base_counts": f"WITH {BASES_SQL} SELECT * FROM bases",
     "overlap_offset": f"WITH RECURSIVE {OFFSET_SQL} SELECT fragment, CAST(off AS INTEGER) AS off, CAST(support AS BIGINT) AS support FROM best WHERE k = 1",
@@ -291,9 +311,7 @@ SELECT t.fragment, CAST(sum0 AS BIGINT) AS sum0, CAST(whole + change AS BIGINT)
     "sample_align": f"WITH {LOCI_SQL}, {BASES_SQL}, grid AS (SELECT tid, pos, unnest({A.SAMPLES}) AS sample FROM loci) SELECT g.sample, g.tid, g.pos, " + ", ".join(f"coalesce(b.{c}, 0) AS {c}" for c in align.COUNTS) + " FROM grid g LEFT JOIN bases b ON g.sample = b.sample AND g.tid = b.tid AND g.pos = b.pos",
     "ref_pseudo_sample": f"WITH {LOCI_REF_SQL} SELECT tid, pos, " + ", ".join(f"CAST(CASE WHEN ref_base = '{b}' THEN 1000000 ELSE 0 END AS BIGINT) AS {b.lower()}" for b in "ACGT") + ", CAST(0 AS BIGINT) AS n_lo, CAST(1000000 AS BIGINT) AS n_hi, CAST(0 AS BIGINT) AS n_fuzzy, ref_base AS base, 50 AS qual, CAST(1000000 AS BIGINT) AS ct FROM known",
     "pileup_strings": f"WITH {PILE_SQL} SELECT sample, tid, pos, ref_base, n_lo, n_hi, CAST(0 AS BIGINT) AS n_indel, calls, quals FROM pile",
-    "pileup_with_indels": f"WITH RECURSIVE {INDEL_SQL}, " + PILE_SQL.removeprefix(f"{CALLS_SQL}, ") + """, e AS (
-  SELECT sample, tid, pos, CAST(sum(ct) AS BIGINT) AS n_indel, string_agg(repeat(CASE WHEN is_ins THEN '+' ELSE '-' END || CAST(len AS VARCHAR) || coalesce(seq, ''), CAST(ct AS INT)), '' ORDER BY is_ins, len, seq) AS events FROM indels GROUP BY sample, tid, pos
-) SELECT p.sample, p.tid, p.pos, ref_base, n_lo, n_hi, coalesce(n_indel, 0) AS n_indel, calls || coalesce(events, '') AS calls, quals FROM pile p LEFT JOIN e ON p.sample = e.sample AND p.tid = e.tid AND p.pos = e.pos""",
+    "pileup_with_indels": f"WITH RECURSIVE {FULL_SQL} SELECT * FROM full_pile",
     "pileup_depths": f"WITH {PILE_SQL} SELECT sample, tid, pos + 1 AS pos, ref_base, n_hi, n_lo FROM pile",
     "majority_base": f"WITH {BASES_SQL} SELECT sample, tid, pos, {_MAJOR} AS major FROM bases",
     "pstats_histogram": f"WITH {BASES_SQL}, " + BQS_SQL.removeprefix(f"{CALLS_SQL}, ") + f", j AS (SELECT q.*, {_MAJOR} AS major FROM bqs q JOIN bases b ON q.sample = b.sample AND q.tid = b.tid AND q.pos = b.pos), h AS (SELECT sample, tid, pos, {_CELLS} FROM j GROUP BY sample, tid, pos) SELECT {_NAMES}, count(*) AS n_loci FROM h GROUP BY {_NAMES}",

@@ -94,24 +94,28 @@ def _pair_state(s, d):
     return _states(s, d).select("s1", "s2", "tid", "pos", "state", "n_trials", "n_success", "lo", "hi")
 
 
+def _terms(s, d):
+    return dist.quality_terms(L.bqs(s, d), CONFIG)
+
+
 def _distance(s, d):
-    return dist.distance_quantiles(_states(s, d), CONFIG)
+    return dist.distance_quantiles(_states(s, d), _terms(s, d), CONFIG)
 
 
 def _composition(s, d):
-    return dist.compositions(L.bases(s, d), _distance(s, d), CONFIG)
+    return dist.compositions(L.bases(s, d), _terms(s, d), _distance(s, d), CONFIG)
 
 
 def _indel_distance(s, d):
     counts = L.bases(s, d).select("sample", "tid", "pos", (F.col("n_lo") + F.col("n_hi")).alias("m"))
     ref = align.reference_counts(L.with_ref(align.present_loci(counts))).select("sample", "tid", "pos", (F.col("n_lo") + F.col("n_hi")).alias("m"))
     matches = align.sample_pairs(counts.unionByName(ref), A.pairs(s), ["m"]).withColumnsRenamed({"m_1": "m1", "m_2": "m2"})
-    return dist.indel_distances(align.indel_pairs(L.indels(s, d), A.pairs(s)), matches, CONFIG)
+    return dist.indel_distances(L.spelled_pairs(s, d), matches, CONFIG)
 
 
 def _summary(s, d):
     states = _states(s, d)
-    return dist.pair_summary(states, dist.distance_quantiles(states, CONFIG))
+    return dist.pair_summary(states, dist.distance_quantiles(states, _terms(s, d), CONFIG))
 
 
 

@@ -30,10 +30,10 @@ def composition_rows(comps: DataFrame, contigs: DataFrame, quantiles: list[str])
 def indel_rows(distances: DataFrame, contigs: DataFrame, quantiles: list[str]) -> DataFrame:
     """s1, s2, contig, ref_base, pos, quantiles to four digits, both samples' counts, events.
 
-    The event of a match is @ and stands first.
+    Match counts and the match event, @, stand first.
     """
     named = distances.join(contigs, "tid").withColumn("contig", F.col("name")).withColumn("pos", F.col("pos") + 1)
-    return named.select("s1", "s2", "contig", "ref_base", "pos", *numbers(quantiles, "%.4f"), "counts1", "counts2", F.concat(F.lit("@,"), "events").alias("events"))
+    return named.select("s1", "s2", "contig", "ref_base", "pos", *numbers(quantiles, "%.4f"), "counts1", "counts2", "events")
 
 
 def sparse_depth_rows(track: DataFrame) -> DataFrame:
