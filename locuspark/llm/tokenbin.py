@@ -12,7 +12,8 @@ twice leaves the same files. Row counts and prefix sums over the ranges, one row
 the bases; base + offset is a document's global start. Reading maps the files into memory.
 The folder must be a path that all executors mount (POSIX), as memory mapping needs one.
 
-Null and empty texts give the end id alone. Rows with the same doc_id follow each other.
+Null and empty texts give the end id alone. Rows with the same doc_id follow each other, in
+the order of a hash of their texts, so that several ranges can share a frequent id.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ import os
 import re
 import uuid
 import zlib
-from itertools import chain
-from unicodedata import is_normalized
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -33,70 +33,99 @@ from locuspark.llm.common import fresh_path, table
 
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 NO_ID = np.iinfo(np.int64).min
-#: Distinct runs of characters whose ids a Python worker remembers.
-REMEMBERED = 400_000
-
-
-def _byte_letters() -> dict[int, str]:
-    """The usual printable stand-ins of byte-level vocabularies, by Latin-1 code point."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-
-class WordEncoder:
-    """Ids of whole texts through the ids of their parts between ASCII spaces and line ends.
-
-    Exact for tokenizers that compose (NFC), lower-case, drop white space and never look
-    across it. A full stop or comma between a letter and white space is a part of its own, as
-    the tokenizer splits there too. Each distinct part goes through the tokenizers library
-    once, a plain word straight to its merge model; then it comes from a table.
+#: Distinct parts of texts that a Python worker remembers, in each of two generations (about
+#: 200 bytes each); the longest of them; characters of a text that are cut at once.
+REMEMBERED, LONGEST, SLICE = 600_000, 100, 1 << 18
+#: What keeps a text from being lower-cased as a whole: characters outside PLAIN, and what
+#: may be a special token, which is looked for before lower-casing.
+PLAIN = "\u017f"
+WORD_AND_SIGNS = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)").fullmatch
+ODD = re.compile("[^\0-\u012f\u0131-\u017f]|<\\|")
+
+
+class Parts(dict):
+    """Ids of the parts of texts between ASCII spaces and line feeds, as bytes.
+
+    The tokenizer composes (NFC), puts a space for white space, lower-cases character by
+    character, drops white space and never looks across it. A space neither composes with
+    anything nor moves, and no special token holds one, so that the ids of a text are those
+    of its parts, each encoded by itself. Up to U+017F, but for U+0130, characters are
+    composed already and lower-case to one such character, with or without their
+    neighbours; a part of such letters alone is one piece for the merge model, and what
+    ASCII punctuation ends the part is another piece. Every other part goes through encode().
     """
 
-    BETWEEN = re.compile(r"(?<=[a-z])(?=[.,](?:[ \n]|\Z))")
-    LETTERS = _byte_letters()
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, bits: int | None = None):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        least = 16 if self.tokenizer.get_vocab_size() <= 1 << 16 else 32
+        if (bits or least) not in (16, 32) or (bits or least) < least:
+            raise ValueError(f"ids of this vocabulary need {least} bits")
+        self.width = np.uint16 if (bits or least) == 16 else np.uint32
+        self.merge = self.tokenizer.model.tokenize
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: shown(chr(c))[0][0] for c in range(128, ord(PLAIN) + 1)}
+        self.kind = "H" if self.width is np.uint16 else "I"
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = self._encoded(part)
+        if len(part) > LONGEST:
+            return found
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[part] = found
+        return found
+
+    def _encoded(self, part: str) -> bytes:
+        if not _plain_word(part):
+            cut = WORD_AND_SIGNS(part)
+            if not cut or not _plain_word(cut[1]):
+                return self._whole(part)
+            return self[cut[1]] + self[cut[2]]
+        low = part.lower()
+        if low != part:
+            return self[low]
+        return array(self.kind, [t.id for t in self.merge(part if part.isascii() else part.translate(self.letters))]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        return [self._ids(t) if t else b"" for t in texts]
 
-    def _parts(self, text: str | None) -> list[str]:
-        if not text:
-            return []
-        if "\u03a3" not in text and "\u0130" not in text and is_normalized("NFC", text):
+    def _ids(self, text: str) -> bytes:
+        get = self.__getitem__
+        if ("<|" not in text) if text.isascii() else not ODD.search(text):
             text = text.lower()
-        return self.BETWEEN.sub(" ", text).replace("\n", " ").split(" ")
-
-    def _learn(self, new: list[str]) -> None:
-        merge, odd = self.tokenizer.model.tokenize, []
-        for w in new:
-            if w.isalpha() and w.islower() and is_normalized("NFC", w):
-                ids = [t.id for t in merge(w if w.isascii() else w.encode().decode("latin-1").translate(self.LETTERS))]
-                self.known[w] = np.array(ids, self.width).tobytes()
-            else:
-                odd.append(w)
-        for w, e in zip(odd, self.tokenizer.encode_batch(odd, add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, self.width).tobytes()
+        text = text.replace("\n", " ")
+        if len(text) <= SLICE:
+            return b"".join(map(get, text.split(" ")))
+        out, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + SLICE)
+            end = len(text) if end < 0 else end
+            out.append(b"".join(map(get, text[at:end].split(" "))))
+            at = end + 1
+        return b"".join(out)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        parts = [self._parts(t) for t in texts]
-        self._learn([w for w in set(chain.from_iterable(parts)) if w not in self.known])
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
+
+def _plain_word(part: str) -> bool:
+    return part.isalpha() and (part.isascii() or (max(part) <= PLAIN and "\u0130" not in part))
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int | None], Parts] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, bits: int | None = None) -> Parts:
+    if (path, bits) not in _encoders:
+        _encoders[path, bits] = Parts(path, bits)
+    return _encoders[path, bits]
 
 
 def _local(uri: str) -> str:
@@ -107,7 +136,7 @@ def _local(uri: str) -> str:
     return uri
 
 
-def _writer(folder: str, vocabulary: str):
+def _writer(folder: str, vocabulary: str, bits: int | None):
     def run(batches):
         from pyspark import TaskContext
 
@@ -115,7 +144,7 @@ def _writer(folder: str, vocabulary: str):
         part = TaskContext.get().partitionId()
         names = [f"{folder}/{part:06d}.{kind}" for kind in ("ids", "off", "doc")]
         drafts = [f"{n}.{uuid.uuid4().hex}" for n in names]
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, bits)
         end = np.array([END_ID], enc.width).tobytes()
         size, docs, tokens = np.dtype(enc.width).itemsize, 0, 0
         with open(drafts[0], "wb") as ids, open(drafts[1], "wb") as off, open(drafts[2], "wb") as doc:
@@ -140,16 +169,18 @@ def _writer(folder: str, vocabulary: str):
     return run
 
 
-def write_tokens(docs: DataFrame, uri: str, vocabulary: str, parts: int | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, uri: str, vocabulary: str, parts: int | None = None, bits: int | None = None) -> DataFrame:
     """Writes docs (doc_id, text) to uri; returns the manifest: part, docs, tokens, bits, base, first.
 
-    The manifest has one row a range, however many documents there are.
+    The manifest has one row a range, however many documents there are. bits, 16 or 32, is
+    the width of an id, by default the least that the vocabulary needs.
     """
     spark = docs.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = slim.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    written = ordered.mapInArrow(_writer(_local(uri), vocabulary), "part long, docs long, tokens long, bits long").collect()
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = slim.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    written = ordered.mapInArrow(_writer(_local(uri), vocabulary, bits), "part long, docs long, tokens long, bits long").collect()
     held = spark.createDataFrame(written, "part long, docs long, tokens long, bits long").coalesce(1)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumns(
