@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from locuspark.llm.common import numbered, table
 
-PRIME, ROUNDS, SHARDS, SEED, EXTRA_BYTES = 2147483647, 6, 40, 20240501, 16
+PRIME, ROUNDS, SHARDS, SEED, EXTRA_BYTES, WALK = 2147483647, 6, 40, 20240501, 16, 64
 
 
 def radices(n: int) -> tuple[int, int]:
@@ -92,13 +92,16 @@ def permuted(x: Column, n: int, seed: int = SEED) -> Column:
         return F.aggregate(keys, v, one_round)
 
     ra, rb = radices(n)
-    # A cycle leaves the range at most a*b - n times; each further step has a chance under
-    # 1 / sqrt(n), so that 64 steps are never used up where the excess is larger than that.
-    steps = min(ra * rb - n, 64)
+    # A cycle leaves the range at most a*b - n times, and each further step has a chance under
+    # 1 / sqrt(n); a walk that 64 steps do not end fails instead of giving a wrong place.
+    steps = min(ra * rb - n, WALK)
     first = once(x.cast("long"))
     if steps == 0:
         return first
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    if steps == ra * rb - n:
+        return last
+    return F.when(last < n, last).otherwise(F.raise_error(F.lit("a cycle walk of the permutation did not end")).cast("long"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -112,11 +115,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     n = rows.count()
     place = permuted(F.col("row_number"), n, seed) if n else F.col("row_number")
     return rows.withColumn("place", place).select(
-        "doc_id", "size", "text_crc32", "row_number",
+        "doc_id", "size", "text_crc32",
         F.lit("rows").alias("law"),
         (F.col("place") % shards).cast("int").alias("shard"),
         F.call_function("div", F.col("place"), F.lit(shards)).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        "row_number",
     )
 
 
@@ -161,7 +165,7 @@ walk AS (
   SELECT row_number, {once.format(x="row_number")} AS v, n, a, b FROM r, m
   UNION ALL SELECT row_number, {once.format(x="v")}, n, a, b FROM walk WHERE v >= n
 )
-SELECT doc_id, size, text_crc32, r.row_number, 'rows' AS law, CAST(v % {SHARDS} AS INTEGER) AS shard, v // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % {SHARDS} AS INTEGER) AS shard, v // {SHARDS} AS slot, CAST(NULL AS INTEGER) AS grown_shard, r.row_number
 FROM r JOIN walk ON r.row_number = walk.row_number AND walk.v < walk.n
 """
 
