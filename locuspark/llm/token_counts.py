@@ -7,6 +7,11 @@ old one behind the edit, encodes those pre-tokens alone and updates the sums abo
 pattern matches from left to right, looks back at nothing and looks ahead less than CONTEXT
 characters, so that all other pre-tokens are what cutting the whole text would give.
 
+build_trees() makes a table of trees, edit_trees() gives that table after edits without cutting
+or encoding the rest of the texts again; its sums come from the table. count_edited() does
+both for rows that are counted once, without a table between, which would be larger than the
+texts.
+
 Null and empty texts have no tokens. Starts and lengths are clamped to the text; edits apply
 one after the other, each to what the one before left. Null edits change nothing. Repeated
 rows are counted each for itself.
@@ -55,10 +60,13 @@ class Counter:
 class SegmentTree:
     """Pre-tokens of one document with sums; slots an edit has rewritten hold several or none."""
 
+    #: The text that slots are slices of, where they are not held one by one.
+    whole = ""
+
     def __init__(self, pieces: list[str], counts: list[int]):
         self.n = max(len(pieces), 1)
         self.size = 1 << (self.n - 1).bit_length()
-        self.slots: list = pieces or [""]
+        self.slots = dict(enumerate(pieces))
         self.tokens, self.chars = np.zeros(2 * self.size, np.int64), np.zeros(2 * self.size, np.int64)
         self.tokens[self.size : self.size + len(counts)] = counts
         self.chars[self.size : self.size + len(pieces)] = [len(p) for p in pieces]
@@ -68,6 +76,15 @@ class SegmentTree:
                 sums[at // 2 : at] = sums[at : 2 * at : 2] + sums[at + 1 : 2 * at : 2]
             at //= 2
 
+    @classmethod
+    def kept(cls, text: str, slots: int, chars: np.ndarray, tokens: np.ndarray) -> SegmentTree:
+        """A tree as build_trees() keeps it; slots are read from the text when an edit needs them."""
+        own = cls.__new__(cls)
+        own.n, own.size, own.slots = slots, (len(chars) + 1) // 2, {}
+        own.chars, own.tokens = (np.r_[0, x].astype(np.int64) for x in (chars, tokens))
+        own.whole, own.starts = text, np.r_[0, np.cumsum(own.chars[own.size : own.size + slots])]
+        return own
+
     def find(self, place: int) -> tuple[int, int]:
         """The slot that holds a character, or the last one, and the characters before it."""
         at, before = 1, 0
@@ -82,11 +99,23 @@ class SegmentTree:
         return slot, before
 
     def text(self, slot: int) -> str:
-        held = self.slots[slot]
-        return held if isinstance(held, str) else "".join(held)
+        held = self.slots.get(slot)
+        if held is None:
+            return self.whole[self.starts[slot] : self.starts[slot + 1]] if self.whole else ""
+        return held
+
+    def now(self) -> str:
+        """The text after all edits: what is between rewritten slots comes from the text as it was."""
+        if not self.whole:
+            return "".join(self.text(i) for i in range(self.n))
+        out, at = [], 0
+        for slot in sorted(self.slots):
+            out += [self.whole[self.starts[at] : self.starts[slot]], self.slots[slot]]
+            at = slot + 1
+        return "".join([*out, self.whole[self.starts[at] :]])
 
     def put(self, slot: int, pieces: list[str], tokens: int) -> None:
-        self.slots[slot] = pieces
+        self.slots[slot] = "".join(pieces)
         at = self.size + slot
         more, longer = tokens - self.tokens[at], sum(map(len, pieces)) - self.chars[at]
         if more or longer:
@@ -141,22 +170,59 @@ def counter(path: str, pattern: str) -> Counter:
     return _counters[path]
 
 
+TREES = "doc_id long, text string, slots int, chars array<long>, tokens array<long>"
+
+
+def _trees_batch(ids, trees: list[SegmentTree], texts: list[str | None], extra: dict) -> pa.RecordBatch:
+    sums = [pa.array([getattr(t, c)[1:] for t in trees], pa.list_(pa.int64())) for c in ("chars", "tokens")]
+    columns = [ids, pa.array(texts, pa.string()), pa.array([t.n for t in trees], pa.int32()), *sums, *extra.values()]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "slots", "chars", "tokens", *extra])
+
+
 def build_trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, chars and tokens (arrays, level by level from the root) for docs (doc_id, text)."""
+    """doc_id, text, slots, chars and tokens (sums, level by level from the root) for docs (doc_id, text)."""
 
     def run(batches):
         own = counter(path, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
-                trees = []
-                for text in rows.column("text").to_pylist():
+                rows, trees = batch.slice(at, 128), []
+                texts = rows.column("text").to_pylist()
+                for text in texts:
                     pieces = own.cut(text or "")
                     trees.append(SegmentTree(pieces, own.counts(pieces)))
-                sums = [pa.array([getattr(t, c)[1:] for t in trees], pa.list_(pa.int64())) for c in ("chars", "tokens")]
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *sums], names=["doc_id", "chars", "tokens"])
+                yield _trees_batch(rows.column("doc_id"), trees, texts, {})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TREES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, chars array<long>, tokens array<long>")
+
+def edit_trees(trees: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The table of trees after edits, for trees (as of build_trees, and edits), with n_recoded.
+
+    A tree whose row has no edits comes back as it is. Texts that were null stay null unless
+    an edit inserts something.
+    """
+
+    def run(batches):
+        own = counter(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                rows = batch.slice(at, 128)
+                held, texts, again = [], [], []
+                for text, slots, chars, tokens, edits in zip(*[rows.column(c) for c in ("text", "slots", "chars", "tokens", "edits")]):
+                    text, edits = text.as_py(), [e for e in edits.as_py() or () if e]
+                    tree = SegmentTree.kept(text or "", slots.as_py(), chars.values.to_numpy(), tokens.values.to_numpy())
+                    again.append(sum(_applied(tree, own, e) for e in edits))
+                    new = tree.now() if edits else text
+                    held.append(tree)
+                    texts.append(new if new or text is not None else None)
+                yield _trees_batch(rows.column("doc_id"), held, texts, {"n_recoded": pa.array(again, pa.int64())})
+
+    return trees.select("doc_id", "text", "slots", "chars", "tokens", "edits").mapInArrow(run, f"{TREES}, n_recoded long")
+
+
+def _applied(tree: SegmentTree, own: Counter, e: dict) -> int:
+    return tree.edit(own, e["start"] or 0, e["remove"] or 0, e["insert"] or "")
 
 
 def count_edited(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -174,7 +240,7 @@ def count_edited(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 pieces = own.cut(text.as_py() or "")
                 tree = SegmentTree(pieces, own.counts(pieces))
                 n, before = len(pieces), int(tree.tokens[1])
-                again = sum(tree.edit(own, e["start"] or 0, e["remove"] or 0, e["insert"] or "") for e in edits or () if e)
+                again = sum(_applied(tree, own, e) for e in edits or () if e)
                 out.append((n, before, int(tree.tokens[1]), again))
             made = [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), (), ()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "n_pretokens", "n_tokens", "n_tokens_edited", "n_recoded"])
@@ -184,7 +250,10 @@ def count_edited(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
-    """docs with the rows of edits (doc_id, seq, start, remove, insert) as an array in order of seq."""
+    """docs, or trees, with the rows of edits (doc_id, seq, start, remove, insert) as an array in order of seq.
+
+    Rows with the same id get the same edits, rows with a null id none; other columns stay.
+    """
     one = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("remove").cast("long").alias("remove"), "insert")
     grouped = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("edits"))
     return docs.join(grouped, "doc_id", "left")
