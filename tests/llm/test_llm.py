@@ -292,16 +292,6 @@ def test_languages(spark, docs, empty):
     assert got[1].declared == "fr" and not got[2].accepted and not got[3].accepted
 
 
-def test_secrets_held_out(spark):
-    train, held = secret_scan.training_findings(), secret_scan.training_findings(1000, 99)
-    model = secret_scan.forest(spark, train)
-    texts = spark.createDataFrame([(i, f["before"] + f["candidate"] + f["after"], f["label"]) for i, f in enumerate(held)], "doc_id long, text string, label double")
-    found = secret_scan.scan(texts, model).where("is_secret").select("doc_id").distinct()
-    hits = texts.join(found, "doc_id").toPandas()
-    positives = sum(f["label"] for f in held)
-    assert hits.label.sum() >= 0.9 * positives and (hits.label == 0).sum() <= 0.05 * positives
-
-
 def test_redaction(spark, docs, empty):
     key = "a3f1c29b7de04856b1aa90c34de77f0192ab34cd"
     rows = [(1, f'x token = "{key}" y {key}', "en", "s", 0, "m", "n", 1), (2, "plain words only", "en", "s", 16, "m", "n", 1), (3, None, None, None, None, None, None, None)]
