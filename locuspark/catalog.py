@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 FLAGSHIP = "base_counts"
-MODULES = ["loci_queries", "value_queries", "extra_queries"]
+MODULES = ["loci_queries", "value_queries", "extra_queries", "more_queries"]
 
 
 def _gather(what: str) -> dict:

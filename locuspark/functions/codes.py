@@ -74,5 +74,40 @@ def pack_key(pos: Column, tid: Column, base: Column, qual: Column, strand: Colum
     return out
 
 
+def unpack_key(key: Column) -> Column:
+    """pos, tid, base, qual and strand of a tally key, as a struct."""
+    part = lambda shift, bits: F.shiftrightunsigned(key, shift).bitwiseAND((1 << bits) - 1).cast("int")
+    return F.struct(part(32, 32).alias("pos"), part(12, 20).alias("tid"), part(8, 4).alias("base"), part(1, 7).alias("qual"), part(0, 1).alias("strand"))
+
+
+# Bits of the four counts in a packed key, largest count first.
+ALPHA_BITS = (24, 20, 12, 8)
+
+
+def pack_counts(counts: list[Column], bits: tuple[int, ...] = ALPHA_BITS) -> Column:
+    """Four counts in 64 bits; null where one needs more bits than it has, so that no keys collide."""
+    out, left = F.lit(0).cast("long"), sum(bits)
+    fits = F.lit(True)
+    for count, n in zip(counts, bits):
+        left -= n
+        out = out.bitwiseOR(F.shiftleft(count.cast("long"), left))
+        fits = fits & (count >= 0) & (count < (1 << n))
+    return F.when(fits, out)
+
+
+def unpack_counts(key: Column, bits: tuple[int, ...] = ALPHA_BITS) -> Column:
+    """The counts of a packed key, as an array."""
+    out, left = [], sum(bits)
+    for n in bits:
+        left -= n
+        out.append(F.shiftrightunsigned(key, left).bitwiseAND((1 << n) - 1))
+    return F.array(*out)
+
+
+def char_codes(text: Column, letters: str, unknown: int = -1) -> Column:
+    """The place of each character of a text among letters, or unknown."""
+    return F.transform(F.split(text, ""), lambda c: F.when(c == "", unknown).when(F.position(c, F.lit(letters)) > 0, F.position(c, F.lit(letters)) - 1).otherwise(unknown))
+
+
 def short_contig(name: Column) -> Column:
     return F.regexp_replace(name, "(?i)^chr", "")

@@ -10,16 +10,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from locuspark.functions.codes import bin_center, value_bin
+from locuspark.operators.regions import spread_positions
 
 TRACK, TILE = ["sample", "contig"], 1 << 18
 
 
 def dense(sparse: DataFrame, contigs: DataFrame, samples: list) -> DataFrame:
-    """A row for every position from 1 to each contig's len, zero depth in gaps."""
-    grid = contigs.withColumn("sample", F.explode(F.array(*[F.lit(s) for s in samples]))).select("sample", "contig", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("pos"))
+    """A row for every position from 1 to each contig's len, zero depth in gaps.
+
+    See known_tracks() for depths on contigs that are not listed, which are left out here.
+    """
+    tracks = contigs.select("contig", "len").withColumn("sample", F.explode(F.array(*[F.lit(s) for s in samples])))
+    grid = spread_positions(tracks, F.lit(1), F.col("len") + 1)
     return grid.join(sparse, [*TRACK, "pos"], "left").select("sample", "contig", "pos", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def known_tracks(sparse: DataFrame, contigs: DataFrame) -> DataFrame:
+    """sparse as it is; a row on a contig that is not listed, or beyond its end, fails the job."""
+    known = contigs.select(F.col("contig").alias("known_"), F.col("len").alias("len_"))
+    joined = sparse.join(known, sparse["contig"] == F.col("known_"), "left")
+    wrong = F.col("known_").isNull() | (F.col("pos") < 1) | (F.col("pos") > F.col("len_"))
+    told = F.raise_error(F.concat(F.lit("unknown contig or position: "), F.concat_ws(" ", "contig", "pos")))
+    checked = joined.withColumn("pos", F.when(wrong, told.cast(dict(sparse.dtypes)["pos"])).otherwise(F.col("pos")))
+    return checked.select(sparse.columns)
+
+
+def globally_normalised(track: DataFrame, averages: DataFrame) -> DataFrame:
+    """depth over the sample's average depth (sample, avg_depth), as `value`."""
+    return track.join(averages, "sample").withColumn("value", F.col("depth") / F.col("avg_depth")).drop("avg_depth")
+
+
 def sparse(track: DataFrame) -> DataFrame:
     return track.where(F.col("depth") != 0)
 
@@ -51,7 +71,7 @@ def trailing_mean(sparse_track: DataFrame, width: int, tile: int = TILE) -> Data
     """
     half = width // 2
     last = sparse_track.groupBy(*TRACK).agg(F.max("pos").alias("last"))
-    grid = last.select(*TRACK, "last", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("pos"))
+    grid = spread_positions(last.select(*TRACK, "last"), F.lit(1), F.col("last") + 1)
     full = grid.join(sparse_track, [*TRACK, "pos"], "left").select(*TRACK, "last", "pos", F.coalesce("depth", F.lit(0)).cast("double").alias("d"))
     order = Window.partitionBy(*TRACK, "tile_").orderBy("pos")
     rows = _tiled(full, width, width, tile).withColumns(

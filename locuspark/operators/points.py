@@ -135,3 +135,84 @@ def convolve(a: Column, b: Column) -> Column:
     n = F.size(a) + F.size(b) - 1
     term = lambda k: F.aggregate(F.sequence(F.lit(0), F.size(a) - 1), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(a, i) * F.get(b, k - i), F.lit(0.0)))
     return F.transform(F.sequence(F.lit(0), n - 1), term)
+
+
+def in_simplex(point: Column) -> Column:
+    """Whether an array is on or below the simplex: none below 0, a sum of 1 at most, but for rounding."""
+    total = F.aggregate(point, F.lit(0.0), lambda s, x: s + x)
+    return F.forall(point, lambda x: x >= 0) & (total <= 1 + 1e-10)
+
+
+def weight_spread(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """keys, least, most, total, and most over the mean weight."""
+    ratio = F.max(weight) / F.sum(weight) * F.count(weight)
+    return df.groupBy(*keys).agg(F.min(weight).alias("least"), F.max(weight).alias("most"), F.sum(weight).alias("total"), ratio.alias("most_to_mean"))
+
+
+def boundary_distance(point: Column, dims: int) -> Column:
+    """Distance of a composition to the simplex's boundary, from its least component."""
+    # How far a unit of the least component is, by the number of components.
+    scale = {2: 1.0, 3: sqrt(1.5), 4: 2 * sqrt(3) / 3}[dims]
+    return F.array_min(point) * scale
+
+
+def local_mass(points: DataFrame, dims: list[str], weight: str, neighbours: int, cell: float) -> DataFrame:
+    """center, volume, weight, mass: the cube around each point's neighbours times its weight.
+
+    points: id, dims, weight. A point counts if it has `neighbours` others within the distance to
+    the boundary, and volume is the cube of the distance to the last of them. Neighbours come
+    from a join on grid cells of width `cell`, the largest distance that is looked at.
+    """
+    at = [F.floor(F.col(d) / cell) for d in dims]
+    one = points.select("id", *dims, weight, F.array(*at).alias("cell_"))
+    near = one
+    for i in range(len(dims)):
+        near = near.withColumn(f"s{i}_", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+    near = near.select("id", *dims, weight, F.array(*[F.col("cell_")[i] + F.col(f"s{i}_") for i in range(len(dims))]).alias("cell_"))
+    other = one.select(F.col("id").alias("other"), *[F.col(d).alias(f"{d}_o") for d in dims], "cell_")
+    d2 = square_distance([F.col(d) for d in dims], [F.col(f"{d}_o") for d in dims])
+    reach = F.least(boundary_distance(F.array(*dims), len(dims)), F.lit(cell))
+    met = near.join(other, "cell_").where("id <> other").withColumn("d_", F.sqrt(d2)).where(F.col("d_") <= reach)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("d_", "other"))
+    last = met.withColumn("k_", rank).where(F.col("k_") == neighbours)
+    volume = F.pow("d_", F.lit(3.0))
+    return last.select(F.col("id").alias("center"), volume.alias("volume"), F.col(weight).alias("weight"), (volume * F.col(weight)).alias("mass"))
+
+
+def trimmed_mean_and_median(df: DataFrame, values: list[str], low: float = 0.25, high: float = 0.75) -> DataFrame:
+    """Per value: the mean of the sorted elements from rank floor(n low) to before floor(n high) - 1, and element n / 2."""
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).alias("x")) for v in values])))
+    ranked = long.withColumns({"k": F.row_number().over(Window.partitionBy("metric").orderBy("x")) - 1, "n": F.count("*").over(Window.partitionBy("metric"))})
+    inside = (F.col("k") >= F.floor(F.col("n") * low)) & (F.col("k") < F.floor(F.col("n") * high) - 1)
+    middle = F.col("k") == F.floor(F.col("n") / 2)
+    return ranked.groupBy("metric").agg(F.avg(F.when(inside, F.col("x"))).alias("mean"), F.max(F.when(middle, F.col("x"))).alias("median"))
+
+
+def adjusted_bound(bound: Column, wins: Column, trials: Column, win_weight: Column, loss_weight: Column) -> Column:
+    """A bound of a proportion corrected by the mean weights of successes and failures."""
+    hi, lo = win_weight / wins, loss_weight / (trials - wins)
+    return F.when((wins == 0) | (wins == trials), bound).otherwise(hi * bound / (lo * (1 - bound) + hi * bound))
+
+
+def running_share(df: DataFrame, key: str, order: str, weight: str, inside: Column) -> DataFrame:
+    """df with share, the weight of rows `inside` among all weight up to each row."""
+    run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    mine = F.sum(F.when(inside, F.col(weight)).otherwise(0.0)).over(run)
+    return df.withColumn("share", mine / F.sum(weight).over(run))
+
+
+def accepted_at(df: DataFrame, key: str, order: str, weight: str, inside: Column, enough: float) -> DataFrame:
+    """key and the first place in the order where the running share exceeds `enough`."""
+    return running_share(df, key, order, weight, inside).where(F.col("share") > enough).groupBy(key).agg(F.min(order).alias("accepted_at"))
+
+
+def normalised_densities(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+    """df with own and other divided by the key's mean of 1 / own: importance weights of drawn points."""
+    norm = df.groupBy(key).agg(F.avg(1 / F.col(own)).alias("norm_"))
+    return df.join(norm, key).withColumns({own: F.col(own) / F.col("norm_"), other: F.col(other) / F.col("norm_")}).drop("norm_")
+
+
+def smooth_points(df: DataFrame, key: str, weight: str, times: float) -> DataFrame:
+    """Rows whose weight is below `times` the key's mean weight."""
+    mean = df.groupBy(key).agg(F.avg(weight).alias("mean_"))
+    return df.join(mean, key).where(F.col(weight) < times * F.col("mean_")).drop("mean_")

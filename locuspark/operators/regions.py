@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Positions in a bin of the range joins, the tile of the usual alignment indexes.
@@ -78,9 +78,22 @@ def span_of_size(regions: DataFrame, most: int) -> DataFrame:
     )
 
 
+def spread_positions(df: DataFrame, beg: Column, stop: Column, name: str = "pos", tile: int = TILE) -> DataFrame:
+    """df with a row for each position of [beg, stop).
+
+    Spans are cut into tiles, which are dealt over tasks before positions come of them, so that
+    neither a row nor a task holds a contig's positions.
+    """
+    kind = dict(df.select(beg.alias("b_")).dtypes)["b_"]
+    cut = df.withColumns({"beg_": beg.cast("long"), "stop_": stop.cast("long")}).where("beg_ < stop_")
+    cut = cut.withColumn("tile_", F.explode(F.sequence(F.floor(F.col("beg_") / tile), F.floor((F.col("stop_") - 1) / tile)))).repartition(*df.columns, "tile_")
+    first, last = F.greatest("beg_", F.col("tile_") * tile), F.least("stop_", (F.col("tile_") + 1) * tile)
+    return cut.select(*df.columns, F.explode(F.sequence(first.cast(kind), (last - 1).cast(kind))).alias(name))
+
+
 def loci(regions: DataFrame) -> DataFrame:
     """Every (tid, pos) of merged regions."""
-    return regions.where("beg < stop").select("tid", F.explode(F.sequence(F.col("beg"), F.col("stop") - 1)).alias("pos"))
+    return spread_positions(regions.select("tid", "beg", "stop"), F.col("beg"), F.col("stop")).select("tid", "pos")
 
 
 def count_loci(regions: DataFrame) -> DataFrame:

@@ -59,3 +59,15 @@ def quality_flavours(records: DataFrame, *keys: str) -> DataFrame:
 def recode_quality(qual: Column, shift: int) -> Column:
     """Every quality character moved by shift, not below the code 0."""
     return F.array_join(F.transform(F.split(qual, ""), lambda c: F.chr(F.greatest(F.lit(0), F.ascii(c) + shift).cast("long"))), "")
+
+
+def flavour(fits: DataFrame, *keys: str) -> DataFrame:
+    """keys and flavour: Sanger, or the first of the 64-based ones; a group that fits none, or both kinds, fails.
+
+    fits: as of quality_flavours().
+    """
+    other = [n for n in FASTQ_RANGES if n != "Sanger"]
+    wide = F.coalesce(*[F.when(F.col(n), F.lit(n)) for n in other])
+    unclear = F.raise_error(F.concat(F.lit("quality flavour is not clear: "), F.concat_ws(" ", *keys))).cast("string")
+    named = F.when(F.col("Sanger") & wide.isNull(), "Sanger").when(~F.col("Sanger") & wide.isNotNull(), wide).otherwise(unclear)
+    return fits.select(*keys, named.alias("flavour"))

@@ -10,12 +10,28 @@ from locuspark.operators.sequences import TILE, fetch
 LOCUS = ["sample", "tid", "pos"]
 
 
+#: Distinct cigars that are walked apart from the reads and joined by a broadcast.
+SHARED = 20_000
+
+
 def cigar_ops(reads: DataFrame) -> DataFrame:
     """One row for each operation of a read's cigar: op, len, q (in the read), r (on the contig).
 
     q and r are where the operation begins. M, =, X, I and S advance q; M, =, X, D and N
-    advance r.
+    advance r. If a count finds at most SHARED distinct cigars, of 1,000 letters at most, each is
+    walked once and joined to the reads by a broadcast; else each read walks its own.
     """
+    kinds = reads.select("cigar").distinct()
+    few, longest = kinds.limit(SHARED + 1).agg(F.count("*"), F.max(F.length("cigar"))).first()
+    if few > SHARED or (longest or 0) > 1000:
+        return walk_cigars(reads)
+    walked = walk_cigars(kinds.select("cigar", F.lit(0).alias("pos"))).select(F.col("cigar").alias("cigar_"), "op", "len", "q", F.col("r").alias("r_"))
+    joined = reads.join(F.broadcast(walked), F.col("cigar") == F.col("cigar_"))
+    return joined.select(*reads.columns, "op", "len", "q", (F.col("pos") + F.col("r_")).alias("r"))
+
+
+def walk_cigars(reads: DataFrame) -> DataFrame:
+    """cigar_ops(), each row by itself."""
     lens = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(1))
     kinds = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(2))
     ops = F.zip_with(lens, kinds, lambda n, op: F.struct(op.alias("op"), n.cast("int").alias("len")))
@@ -42,12 +58,21 @@ def aligned_bases(reads: DataFrame) -> DataFrame:
     )
 
 
+def read_calls(reads: DataFrame) -> DataFrame:
+    """sample, tid, pos, base, qual and strand (1 forward) of each base on the contig, for reads with flag and qual (array)."""
+    forward = F.when(F.col("flag").bitwiseAND(16) == 0, 1).otherwise(0)
+    slim = reads.select("sample", "tid", "pos", "cigar", "seq", "qual", forward.alias("strand"))
+    m = cigar_ops(slim).where(F.col("op").isin("M", "=", "X")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("len") - 1)))
+    base = F.upper(F.substr("seq", F.col("q") + F.col("i") + 1, F.lit(1)))
+    return m.select("sample", "tid", (F.col("r") + F.col("i")).alias("pos"), base.alias("base"), F.get("qual", F.col("q") + F.col("i")).alias("qual"), "strand")
+
+
 def indel_events(reads: DataFrame) -> DataFrame:
     """One row an insertion or deletion: sample, tid, pos, is_ins, len, seq (null for deletions).
 
     An insertion stands at the contig base that follows it, a deletion at its first base.
     """
-    ops = cigar_ops(reads).where(F.col("op").isin("I", "D"))
+    ops = cigar_ops(reads.where(F.col("cigar").rlike("[ID]"))).where(F.col("op").isin("I", "D"))
     ins = F.col("op") == "I"
     return ops.select(
         "sample", "tid", F.col("r").alias("pos"), ins.alias("is_ins"), "len",
@@ -85,6 +110,36 @@ def indel_sequence(indels: DataFrame, tiles: DataFrame, width: int = TILE) -> Da
     return joined.select(indels.columns)
 
 
+def mate_pairs(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Reads that overlap their mate, as fragment, a and b (structs of reads), and all others.
+
+    reads: sample, qname, flag, tid, pos, mpos, cigar and more. Mates are paired (flag 1) in a
+    proper pair (flag 2), on one contig; the upstream one reaches the other's start. a is the
+    upstream read; of two that start together the one with the smaller flag. A read whose
+    partner is not there is among the others, as are second reads of a name and side.
+    """
+    spans = F.expr("aggregate(transform(regexp_extract_all(cigar, '([0-9]+)[MDN=X]', 1), x -> int(x)), 0, (s, x) -> s + x)")
+    proper = ((F.col("flag").bitwiseAND(3)) == 3) & F.col("mpos").isNotNull()
+    apart = (F.col("pos") < F.col("mpos")) & (F.col("pos") + spans < F.col("mpos"))
+    held = reads.withColumn("may_", F.coalesce(proper & ~apart, F.lit(False)))
+    record = F.struct(*[F.col(c) for c in reads.columns])
+    lower, upper = F.least("pos", "mpos"), F.greatest("pos", "mpos")
+    grouped = held.where("may_").groupBy("sample", "qname", "tid", lower.alias("lower_"), upper.alias("upper_"))
+    # Reads of one name at one place are two but for repeats of the whole record.
+    sides = grouped.agg(F.array_sort(F.collect_list(F.struct("pos", "flag", record.alias("read")))).alias("reads_"))
+    one, two = F.get("reads_", F.lit(0)), F.get("reads_", F.lit(1))
+    fits = F.coalesce((F.size("reads_") == 2) & (one["pos"] == F.col("lower_")) & (two["pos"] == F.col("upper_")), F.lit(False))
+    named = F.concat_ws(":", "sample", "qname", "tid", "lower_")
+    pairs = sides.where(fits).select(named.alias("fragment"), one["read"].alias("a"), two["read"].alias("b"))
+    # A downstream read whose upstream mate does not reach it stands alone, like all the rest.
+    reach = F.expr("a.pos + aggregate(transform(regexp_extract_all(a.cigar, '([0-9]+)[MDN=X]', 1), x -> int(x)), 0, (s, x) -> s + x)")
+    meets = reach >= F.col("b.pos")
+    single = held.where(~F.col("may_")).select(reads.columns)
+    single = single.union(sides.where(~fits).select(F.explode("reads_").alias("r")).select("r.read.*"))
+    single = single.union(pairs.where(~meets).select(F.explode(F.array("a", "b")).alias("r")).select("r.*"))
+    return pairs.where(meets), single
+
+
 def overlap_offset(pairs: DataFrame) -> DataFrame:
     """Offset of read 2 on the fragment, for pairs (fragment, a: struct, b: struct of reads).
 
@@ -93,7 +148,7 @@ def overlap_offset(pairs: DataFrame) -> DataFrame:
     without overlapping blocks are left out.
     """
     def blocks(side: str) -> DataFrame:
-        ops = cigar_ops(pairs.select("fragment", f"{side}.*")).where(F.col("op").isin("M", "=", "X"))
+        ops = walk_cigars(pairs.select("fragment", f"{side}.*")).where(F.col("op").isin("M", "=", "X"))
         return ops.select("fragment", F.col("q").alias(f"{side}_q"), F.col("r").alias(f"{side}_r"), F.col("len").alias(f"{side}_n"))
 
     both = blocks("a").join(blocks("b"), "fragment")

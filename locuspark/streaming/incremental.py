@@ -34,6 +34,17 @@ def read_base_counts(spark: SparkSession, out: str) -> DataFrame:
     return parts.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
+def complete_up_to(starts: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Rows that no later read can change: those before the last start of every sample's reads.
+
+    starts: sample, tid, pos of tallied loci; loaded: sample, tid, pos of the reads seen so far,
+    which come in order. A sample without reads holds nothing back.
+    """
+    last = loaded.groupBy("sample").agg(F.max(F.struct("tid", "pos")).alias("last_")).agg(F.min("last_").alias("last_"))
+    # One row.
+    return starts.join(F.broadcast(last), F.struct("tid", "pos") < F.col("last_"), "left_semi")
+
+
 def pair_mates(reads: DataFrame) -> DataFrame:
     """fragment, pos1, pos2 as soon as a fragment's second read (fragment, pos) arrives."""
     def match(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
