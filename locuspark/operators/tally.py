@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.operators.sequences import TILE, fetch
@@ -25,18 +25,23 @@ def cigar_ops(reads: DataFrame) -> DataFrame:
     few, longest = kinds.limit(SHARED + 1).agg(F.count("*"), F.max(F.length("cigar"))).first()
     if few > SHARED or (longest or 0) > 1000:
         return walk_cigars(reads)
-    walked = walk_cigars(kinds.select("cigar", F.lit(0).alias("pos"))).select(F.col("cigar").alias("cigar_"), "op", "len", "q", F.col("r").alias("r_"))
-    joined = reads.join(F.broadcast(walked), F.col("cigar") == F.col("cigar_"))
-    return joined.select(*reads.columns, "op", "len", "q", (F.col("pos") + F.col("r_")).alias("r"))
+    held = kinds.select(F.col("cigar").alias("cigar_"), walked(F.col("cigar"), F.lit(0)).alias("walk_"))
+    each = reads.join(F.broadcast(held), F.col("cigar") == F.col("cigar_")).select(*reads.columns, F.inline("walk_").alias("op_", "len_", "q_", "r_"))
+    return each.select(*reads.columns, F.col("op_").alias("op"), F.col("len_").alias("len"), F.col("q_").alias("q"), (F.col("pos") + F.col("r_")).alias("r"))
 
 
 def walk_cigars(reads: DataFrame) -> DataFrame:
     """cigar_ops(), each row by itself."""
-    lens = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(1))
-    kinds = F.regexp_extract_all("cigar", F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(2))
+    return reads.withColumn("walk_", walked(F.col("cigar"), F.col("pos"))).select("*", F.inline("walk_")).drop("walk_")
+
+
+def walked(cigar: Column, pos: Column) -> Column:
+    """The operations of a cigar that begins at pos, as an array of (op, len, q, r)."""
+    lens = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(1))
+    kinds = F.regexp_extract_all(cigar, F.lit(r"(\d+)([MIDNSHPX=])"), F.lit(2))
     ops = F.zip_with(lens, kinds, lambda n, op: F.struct(op.alias("op"), n.cast("int").alias("len")))
     empty = F.array().cast("array<struct<op:string,len:int,q:int,r:int>>")
-    start = F.struct(F.lit(0).alias("q"), F.col("pos").alias("r"), empty.alias("done"))
+    start = F.struct(F.lit(0).alias("q"), pos.cast("int").alias("r"), empty.alias("done"))
 
     def step(acc, x):
         row = F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["q"].alias("q"), acc["r"].alias("r"))
@@ -46,8 +51,7 @@ def walk_cigars(reads: DataFrame) -> DataFrame:
             F.array_append(acc["done"], row).alias("done"),
         )
 
-    walked = F.aggregate(ops, start, step, lambda acc: acc["done"])
-    return reads.withColumn("walk_", walked).select("*", F.inline("walk_")).drop("walk_")
+    return F.aggregate(ops, start, step, lambda acc: acc["done"])
 
 
 def aligned_bases(reads: DataFrame) -> DataFrame:
@@ -147,14 +151,16 @@ def overlap_offset(pairs: DataFrame) -> DataFrame:
     of the unclipped starts; the best supported offset wins, ties go to the smaller. Pairs
     without overlapping blocks are left out.
     """
-    def blocks(side: str) -> DataFrame:
-        ops = walk_cigars(pairs.select("fragment", f"{side}.*")).where(F.col("op").isin("M", "=", "X"))
-        return ops.select("fragment", F.col("q").alias(f"{side}_q"), F.col("r").alias(f"{side}_r"), F.col("len").alias(f"{side}_n"))
-
-    both = blocks("a").join(blocks("b"), "fragment")
-    meet = (F.col("a_r") < F.col("b_r") + F.col("b_n")) & (F.col("b_r") < F.col("a_r") + F.col("a_n"))
-    off = (F.col("b_r") - F.col("b_q")) - (F.col("a_r") - F.col("a_q"))
-    votes = both.where(meet).groupBy("fragment", off.alias("off")).agg(F.sum(F.least("a_n", "b_n")).alias("support"))
+    def blocks(side: str) -> Column:
+        return F.filter(walked(F.col(f"{side}.cigar"), F.col(f"{side}.pos")), lambda x: x["op"].isin("M", "=", "X"))
+
+    # Blocks of both sides come from one row; one shuffle by fragment serves both sums.
+    rows = pairs.select("fragment", blocks("a").alias("xs"), blocks("b").alias("ys")).select("fragment", F.explode("xs").alias("x"), "ys")
+    both = rows.select("fragment", "x", F.explode("ys").alias("y"))
+    meet = (F.col("x.r") < F.col("y.r") + F.col("y.len")) & (F.col("y.r") < F.col("x.r") + F.col("x.len"))
+    off = (F.col("y.r") - F.col("y.q")) - (F.col("x.r") - F.col("x.q"))
+    found = both.where(meet).select("fragment", off.alias("off"), F.least("x.len", "y.len").alias("n")).repartition("fragment")
+    votes = found.groupBy("fragment", "off").agg(F.sum("n").alias("support"))
     best = F.max_by(F.struct("off", "support"), F.struct("support", (-F.col("off")).alias("less")))
     return votes.groupBy("fragment").agg(best.alias("best")).select("fragment", F.col("best.off").alias("off"), F.col("best.support").alias("support"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from locuspark.functions import codes
@@ -122,19 +123,19 @@ def _reified(spark, sf):
 
 
 def mates(spark, sf):
-    """Reads of an order on one contig as first and second of a fragment."""
+    """Reads of an order on one contig, two by two in order, as first and second of a fragment."""
     rows = A.reads(spark, sf)
-    keyed = rows.select(F.concat_ws(":", "fragment", "tid").alias("fragment"), F.struct("qname", "sample", "tid", (F.col("pos") % 16).alias("pos"), "cigar", "seq", "qual", "strand").alias("read"))
-    both = keyed.groupBy("fragment").agg(F.min("read").alias("a"), F.max("read").alias("b"))
-    return both.where(F.col("a.qname") < F.col("b.qname"))
+    keyed = rows.select(F.concat_ws(":", "fragment", "tid").alias("whole"), F.struct("qname", "sample", "tid", (F.col("pos") % 16).alias("pos"), "cigar", "seq", "qual", "strand").alias("a"))
+    order = Window.partitionBy("whole").orderBy("a")
+    placed = keyed.withColumns({"place": F.row_number().over(order) - 1, "b": F.lead("a").over(order)}).where("place % 2 = 0 and b is not null")
+    return placed.select(F.concat_ws(":", "whole", F.floor(F.col("place") / 2).cast("string")).alias("fragment"), "a", "b")
 
 
 MATES_SQL = f"""{R}, m AS (
-  SELECT CAST(fragment AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS fragment, qname, sample, pos % 16 AS pos, cigar, seq, qual, strand FROM reads
-), n AS (SELECT *, row_number() OVER (PARTITION BY fragment ORDER BY qname, sample, pos, cigar, seq, qual, strand) AS up,
-  row_number() OVER (PARTITION BY fragment ORDER BY qname DESC, sample DESC, pos DESC, cigar DESC, seq DESC, qual DESC, strand DESC) AS down, count(*) OVER (PARTITION BY fragment) AS k FROM m),
-x0 AS (SELECT * FROM n WHERE up = 1 AND k > 1), y0 AS (SELECT * FROM n WHERE down = 1 AND k > 1),
-a AS (SELECT x0.* FROM x0 JOIN y0 USING (fragment) WHERE x0.qname < y0.qname), b AS (SELECT y0.* FROM x0 JOIN y0 USING (fragment) WHERE x0.qname < y0.qname),
+  SELECT CAST(fragment AS VARCHAR) || ':' || CAST(tid AS VARCHAR) AS whole, qname, sample, pos % 16 AS pos, cigar, seq, qual, strand FROM reads
+), placed AS (SELECT *, row_number() OVER (PARTITION BY whole ORDER BY qname, sample, pos, cigar, seq, qual, strand) - 1 AS place FROM m),
+n AS (SELECT whole || ':' || CAST(place // 2 AS VARCHAR) AS fragment, place % 2 + 1 AS up, count(*) OVER (PARTITION BY whole, place // 2) AS k, qname, sample, pos, cigar, seq, qual, strand FROM placed),
+a AS (SELECT * FROM n WHERE up = 1 AND k = 2), b AS (SELECT * FROM n WHERE up = 2 AND k = 2),
 calls AS (SELECT * FROM a UNION ALL SELECT * FROM b)"""
 OFFSET_SQL = MATES_SQL + CIGAR_SQL.removeprefix(CALLS_SQL).replace("SELECT c.*, w.op", "SELECT c.fragment, c.up = 1 AS first, w.op") + """,
 v AS (
