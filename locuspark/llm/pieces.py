@@ -28,8 +28,10 @@ from locuspark.llm.common import table
 from locuspark.llm.shingles import INVERSE, MULTIPLIER, mix, power
 
 MODEL, ALPHA, SEED = "piece_bpe_32k.model", 1.0, 11
-#: Lattice edges that a Python worker remembers, and texts that are sampled at once.
-REMEMBERED, AT_ONCE = 6_000_000, 512
+#: Lattice edges that a Python worker remembers, and characters and texts that are sampled at
+#: once. Some 200 bytes a character are in use meanwhile, so these bound a worker's memory;
+#: only a part without any cut that is longer than that goes beyond.
+REMEMBERED, AT_ONCE, TEXTS = 3_000_000, 1 << 18, 2048
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -42,14 +44,14 @@ def _points(words: list[str]) -> np.ndarray:
 
 
 class Column:
-    """A growing flat array."""
+    """A flat array that grows; its room is taken once, and only what is filled is in memory."""
 
-    def __init__(self, kind):
-        self.room, self.n = np.zeros(1 << 16, kind), 0
+    def __init__(self, kind, room: int):
+        self.room, self.n = np.zeros(room, kind), 0
 
     def add(self, values: np.ndarray) -> None:
         if self.n + len(values) > len(self.room):
-            self.room = np.concatenate((self.room[: self.n], np.zeros(self.n + 2 * len(values), self.room.dtype)))
+            self.room = np.concatenate((self.room[: self.n], np.zeros(len(values) + (1 << 20), self.room.dtype)))
         self.room[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -102,17 +104,21 @@ class Lattices:
             self.tables[length] = h[order], np.array([ids[k] for k in at], np.int32)[order], seen
         first = min(ids)
         self.cost = -alpha * np.log(np.arange(n) - first + 2.0, where=np.arange(n) >= first, out=np.zeros(n))
+        n = REMEMBERED + (1 << 22)
+        #: Of a part: its first node and its characters. Of a node: its first edge.
+        self.base, self.length, self.head = Column(np.int32, n), Column(np.int32, n), Column(np.int32, n)
+        #: Of an edge: running share among the node's edges, characters, ids in the pool.
+        self.sums, self.back = Column(np.float64, n), Column(np.int32, n)
+        self.first, self.count = Column(np.int32, n), Column(np.int8, n)
+        self.pool = Column(np.int32, n)
         self.forget()
 
     def forget(self) -> None:
         #: Hashes of the parts that are known, ascending, and their rows in what follows.
         self.names, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        #: Of a part: its first node and its characters. Of a node: its first edge.
-        self.base, self.length, self.head = Column(np.int32), Column(np.int32), Column(np.int32)
-        #: Of an edge: running share among the node's edges, characters, ids in the pool.
-        self.sums, self.back = Column(np.float64), Column(np.int32)
-        self.first, self.count = Column(np.int32), Column(np.int8)
-        self.pool = Column(np.int32)
+        for column in vars(self).values():
+            if isinstance(column, Column):
+                column.n = 0
 
     def learn(self, points: np.ndarray, lengths: np.ndarray) -> None:
         """Adds the lattices of new parts, given one after the other."""
@@ -193,8 +199,29 @@ class Lattices:
         for ids in pool:
             self.pool.add(ids)
 
-    def sample(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-        """Piece ids of all texts in a row, and the offsets of the texts in them."""
+    def slices(self, text: str) -> list[str]:
+        """A text in slices of about AT_ONCE characters that end where no piece crosses."""
+        if len(text) <= AT_ONCE:
+            return [text]
+        out, at = [], 0
+        while at < len(text):
+            end = at + AT_ONCE
+            while end < len(text):
+                points = _points([text[end - 1 : end + 1024]])
+                cuts = np.flatnonzero(~self.joined[_pair(points[:-1], points[1:])])
+                if len(cuts):
+                    end += int(cuts[0])
+                    break
+                end += len(points) - 1
+            out.append(text[at:end])
+            at = end
+        return out
+
+    def sample(self, texts: list[str], keys: np.ndarray, seed: int, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids of all texts in a row, and the offsets of the texts in them.
+
+        places: how many parts of each text came before in other slices; counted on here.
+        """
         if self.sums.n > REMEMBERED:
             self.forget()
         points = _points(texts)
@@ -227,6 +254,9 @@ class Lattices:
         sizes = np.searchsorted(starts, np.r_[outer, n])
         sizes = np.diff(sizes)
         place = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if places is not None:
+            place += np.repeat(places, sizes)
+            places += sizes
         state = np.repeat(mix(keys.astype(np.int64).view(np.uint64) + np.array([seed], np.uint64) * BASE), sizes) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
         state = mix(state)
         base, node = self.base[words], self.base[words] + self.length[words]
@@ -268,14 +298,33 @@ def lattices(path: str, alpha: float) -> Lattices:
 
 
 def _blocks(batches, path: str, alpha: float, seed: int):
-    """(rows, texts, ids, offsets) for each block of texts; a null text has no ids."""
+    """(rows, texts, ids, offsets) for each block of texts; a null text has no ids.
+
+    A block has AT_ONCE characters and TEXTS texts at most, or one longer text, which is
+    sampled slice by slice.
+    """
     own = lattices(path, alpha)
     for batch in batches:
-        for at in range(0, batch.num_rows, AT_ONCE):
-            rows = batch.slice(at, AT_ONCE)
-            texts = rows.column("text").to_pylist()
+        column, at = batch.column("text"), 0
+        while at < batch.num_rows:
+            texts, size = [], 0
+            while at + len(texts) < batch.num_rows and len(texts) < TEXTS:
+                text = column[at + len(texts)].as_py()
+                if texts and size + len(text or "") > AT_ONCE:
+                    break
+                texts.append(text)
+                size += len(text or "")
+            rows = batch.slice(at, len(texts))
+            at += len(texts)
             keys = np.array([k or 0 for k in rows.column("doc_id").to_pylist()], np.int64)
-            yield own, rows, texts, *own.sample([t or "" for t in texts], keys, seed)
+            if size <= AT_ONCE:
+                yield own, rows, texts, *own.sample([t or "" for t in texts], keys, seed)
+                continue
+            place, found = np.zeros(1, np.int64), []
+            for part in own.slices(texts[0]):
+                found.append(own.sample([part], keys, seed, place)[0])
+            ids = np.concatenate(found)
+            yield own, rows, texts, ids, np.array([0, len(ids)])
 
 
 def sample_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
