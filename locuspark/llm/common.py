@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,11 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own, in local mode only.
+
+    On a cluster a folder of one machine would lose what executors write, so there it raises.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="locuspark-"))
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="locuspark-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
@@ -29,6 +35,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of the stashes made since recording began, or None.
+_recorded: list[str] | None = None
+
+
 def stash(df: DataFrame, what: str = "stash") -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, keeps statistics.
 
@@ -37,9 +47,41 @@ def stash(df: DataFrame, what: str = "stash") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
+    if _recorded is not None:
+        _recorded.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def recording(paths: list[str]):
+    """Adds the paths of stashes that are made inside to `paths`."""
+    global _recorded
+    outer, _recorded = _recorded, paths
+    try:
+        yield
+    finally:
+        _recorded = outer
+        if outer is not None:
+            outer.extend(paths)
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Deletes the stashes in `paths`, all but those that `keep` reads, which stay listed."""
+    read = [f"{p}/" for p in keep.inputFiles()] if paths else []
+    for path in list(paths):
+        name = path.rsplit("/", 1)[-1]
+        if not any(f"/{name}/" in f for f in read):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            paths.remove(path)
+
+
+def slices(batch, rows: int = 256):
+    """A batch in slices of a few rows, so that Python holds the texts of one slice at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def fresh_name(df: DataFrame, base: str) -> str:
     """base, with underscores in front until no column of df has that name."""
     taken = {c.lower() for c in df.columns}
@@ -104,8 +146,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     edges: columns a, b (long), any direction. Returns node, component. Alternates the
     large-star and small-star steps of Kiveris et al. (2014): each step groups by node and
-    keeps at most as many edges as before, and hot nodes only meet partial minima and a
-    join whose small side has one row a node, so that adaptive execution can split them.
+    keeps at most as many edges as before. Minima, one row a node, are stashed before they
+    are joined, so that they are broadcast where that is bounded, and adaptive execution can
+    split the rows of a hot node where it is not.
     """
     now = stash(
         edges.where(F.col("a") != F.col("b"))
@@ -120,11 +163,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         seen = mark
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
+        large = both.where(F.col("b") > F.col("a")).join(if_bounded(least, "a"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stash(large.where(F.col("a") != F.col("b")).distinct(), "stars")
+        least = stash(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
+        small = large.join(if_bounded(least, "a"), "a")
         now = stash(
             small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")

@@ -2,15 +2,21 @@
 
 The text gives log likelihoods under models of byte trigrams, one a language, which are
 fitted on a bounded sample of labelled documents (SAMPLE rows, those with the smallest hash of
-their id). Grouped sums of the text's posteriors over all rows give the other evidence: how
-often each language declares each markup language, how often it uses each address suffix, and
-each host's own mixture, smoothed toward its domain's, and that toward the whole table's.
-The posterior is their normalised product.
-
-A row is rejected if its text has no letters, if no language fits it as the sample's texts
-fit theirs (its mean log likelihood is MARGIN below the least of the sample), or if no
-language has half of the posterior. Null or empty texts have no letters. Null hosts,
-suffixes and declarations are values like others. Repeated rows count as often as they come.
+their id). Neighbouring trigrams repeat each other's evidence, so a text counts as EFFECTIVE
+trigrams of its mean likelihood at most. Grouped sums of the texts' posteriors over all rows
+give the other evidence: how often each language declares each markup language, and a prior
+that is smoothed in levels, a host's mixture toward its domain's, that toward what the address
+suffix says, and that toward the whole table's. Each row's own share is taken out of the sums
+that it meets, so a text speaks once. The posterior is the normalised product of the text's
+likelihood, the declaration's and the host's prior.
+
+A row is rejected if its text has no letters, if no language fits it (the mean log likelihood
+of its best language is below the median of all rows by more than MARGIN + SPREAD / sqrt(its
+trigrams), which a text of a few trigrams never is), or if no language has half of the
+posterior. Null or empty texts have no letters. Null hosts, domains, suffixes and declarations
+are values like others. Languages that tie share the posterior; the first by name is given.
+Repeated rows count as often as they come. The driver holds the model: BINS numbers for each
+language of the sample.
 """
 
 from __future__ import annotations
@@ -22,9 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import fresh_name, if_bounded, stash, table, with_row_ids
+from locuspark.llm.common import if_bounded, slices, stash, table
 
-SAMPLE, BINS, EFFECTIVE, MARGIN, HOST_WEIGHT, DOMAIN_WEIGHT = 4000, 1 << 16, 200, 1.5, 10.0, 50.0
+SAMPLE, BINS, EFFECTIVE, MARGIN, SPREAD, HOST_WEIGHT, DOMAIN_WEIGHT = 4000, 1 << 16, 200, 6.0, 8.0, 10.0, 50.0
 MARKUP = re.compile(rb"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w{1,10};")
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -51,7 +57,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 t = trigrams(text)
                 sums.setdefault(lang, np.zeros(BINS, np.int64))
@@ -67,16 +73,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
         part = found[found["lang"] == lang]
         logs[k, part["bin"].to_numpy()] += part["n"].to_numpy()
     logs = np.log(logs / logs.sum(axis=1, keepdims=True)).astype(np.float32) if langs else logs.astype(np.float32)
-    model = {"langs": langs, "logs": logs, "least": -np.inf}
-
-    def fits(batches):
-        for batch in batches:
-            least = [score(model, t)[1] for t in batch.column("text").to_pylist() if t]
-            yield pa.RecordBatch.from_pydict({"fit": pa.array([min(least, default=0.0)], pa.float64())})
-
-    if langs:
-        model["least"] = rows.select("text").mapInArrow(fits, "fit double").agg(F.min("fit")).first()[0] or 0.0
-    return model
+    return {"langs": langs, "logs": logs}
 
 
 def score(model: dict, text: str | None, markup: bool = False) -> tuple[np.ndarray, float, int]:
@@ -96,7 +93,7 @@ def text_evidence(rows: DataFrame, model: dict, markup: bool) -> DataFrame:
     kept = ["id", "host", "domain", "suffix", "declared"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [score(held.value, t, markup) for t in batch.column("text").to_pylist()]
             extra = [pa.array([f[0].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.int64())]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *extra], names=[*kept, "p", "fit", "grams"])
@@ -105,49 +102,55 @@ def text_evidence(rows: DataFrame, model: dict, markup: bool) -> DataFrame:
     return stash(rows.select("id", "text", *kept[1:]).mapInArrow(run, kinds), "evidence")
 
 
-def _sums(rows: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Sum of the rows' posteriors for each value of the keys."""
-    made = rows.where("grams > 0").groupBy(*keys).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]).alias("c"), F.count("*").alias("n"))
-    return stash(made, "sums")
+def _sums(rows: DataFrame, n: int, key: str) -> DataFrame:
+    """Sum of the rows' posteriors and number of the rows for each value of a key."""
+    total = F.array(*[F.sum(F.col("p")[i]) for i in range(n)])
+    return stash(rows.where("grams > 0").groupBy(key).agg(total.alias(f"{key}_c"), F.count("*").alias(f"{key}_n")), "sums")
 
 
 def fuse(scored: DataFrame, model: dict) -> DataFrame:
     """id, declared, host, lang, posterior and accepted for every row of text_evidence()."""
     n = max(len(model["langs"]), 1)
-    whole = scored.where("grams > 0").agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)])).first()[0]
-    whole = np.array([x or 0.0 for x in whole]) + 1.0
-    share = whole / whole.sum()
-    lit = lambda v: F.array(*[F.lit(float(x)) for x in v])
-
-    def smooth(c: Column, rows: Column, toward: Column, weight: float) -> Column:
-        return F.transform(F.zip_with(c, toward, lambda x, y: (x + weight * y)), lambda z: z / (rows + weight))
-
-    domains = _sums(scored, n, "domain").select("domain", smooth(F.col("c"), F.col("n"), lit(share), DOMAIN_WEIGHT).alias("domain_p"))
-    domains = stash(domains, "domains")
-    hosts = _sums(scored, n, "host").select("host", F.col("c").alias("host_c"), F.col("n").alias("host_n"))
-    out = scored
-    for key in ("declared", "suffix"):
+    heard = F.col("grams") > 0
+    found = scored.where(heard).agg(F.array(*[F.sum(F.col("p")[i]) for i in range(n)]), F.percentile_approx("fit", 0.5, 10_000)).first()
+    whole = [(x or 0.0) + 1.0 for x in found[0] or [None] * n]
+    own = [F.when(heard, F.col("p")[i]).otherwise(0.0) for i in range(n)]
+    counted = F.when(heard, 1).otherwise(0)
+
+    def others(key: str, i: int) -> Column:
+        return F.greatest(F.coalesce(F.col(f"{key}_c")[i], F.lit(0.0)) - own[i], F.lit(0.0))
+
+    def likelihood(key: str, kinds: int) -> Column:
+        return F.array(*[(others(key, i) + 1.0) / (F.lit(whole[i]) - own[i] + kinds) for i in range(n)])
+
+    def smooth(key: str, toward: str, weight: float) -> Column:
+        rows = F.coalesce(F.col(f"{key}_n"), F.lit(0)) - F.when(F.col(f"{key}_n") > 0, counted).otherwise(0)
+        return F.array(*[(others(key, i) + weight * F.col(toward)[i]) / (rows + weight) for i in range(n)])
+
+    def normal(column: str) -> Column:
+        total = F.aggregate(column, F.lit(0.0), lambda a, x: a + x)
+        return F.transform(column, lambda x: x / total)
+
+    out, kinds = scored, {}
+    for key in ("declared", "suffix", "domain", "host"):
         seen = _sums(scored, n, key)
-        kinds = seen.count() + 1
-        likely = F.zip_with("c", lit(whole), lambda x, y: (x + 1.0) / (y + kinds))
-        seen = seen.select(key, likely.alias(f"{key}_p"))
+        kinds[key] = seen.count() + 1
         out = out.join(if_bounded(seen, key), out[key].eqNullSafe(seen[key]), "left").drop(seen[key])
-    out = out.join(if_bounded(domains, "domain"), out["domain"].eqNullSafe(domains["domain"]), "left").drop(domains["domain"])
-    out = out.join(if_bounded(hosts, "host"), out["host"].eqNullSafe(hosts["host"]), "left").drop(hosts["host"])
-    prior = F.coalesce(smooth(F.col("host_c"), F.col("host_n"), F.coalesce("domain_p", lit(share)), HOST_WEIGHT), F.col("domain_p"), lit(share))
-    flat = lit(np.ones(n))
-    joint = F.col("p")
-    for other in (F.coalesce("declared_p", flat), F.coalesce("suffix_p", flat), prior):
-        joint = F.zip_with(joint, other, lambda x, y: x * y)
+    out = out.withColumn("base_", likelihood("suffix", kinds["suffix"]))
+    out = out.withColumn("base_", F.array(*[F.col("base_")[i] * (F.lit(whole[i]) - own[i]) for i in range(n)]))
+    out = out.withColumn("base_", normal("base_"))
+    out = out.withColumn("domain_p", smooth("domain", "base_", DOMAIN_WEIGHT))
+    out = out.withColumn("host_p", smooth("host", "domain_p", HOST_WEIGHT)).withColumn("declared_p", likelihood("declared", kinds["declared"]))
+    out = out.withColumn("joint", F.array(*[F.col("p")[i] * F.col("declared_p")[i] * F.col("host_p")[i] for i in range(n)]))
     names = F.array(*[F.lit(x) for x in model["langs"] or [None]])
     total = F.aggregate("joint", F.lit(0.0), lambda a, x: a + x)
     best = F.array_max("joint")
-    ok = (F.col("grams") > 0) & (F.col("fit") >= float(model["least"] - MARGIN)) & (best >= 0.5 * total)
-    return out.withColumn("joint", joint).select(
+    least = (found[1] if found[1] is not None else 0.0) - MARGIN - F.lit(SPREAD) / F.sqrt(F.greatest("grams", F.lit(1)))
+    return out.select(
         "id", "declared", "host",
-        F.when(F.col("grams") > 0, names[F.array_position("joint", best).cast("int") - 1]).alias("lang"),
+        F.when(heard, names[F.array_position("joint", best).cast("int") - 1]).alias("lang"),
         F.when(total > 0, best / total).otherwise(0.0).alias("posterior"),
-        ok.alias("accepted"),
+        (heard & (F.col("fit") >= least) & (best >= 0.5 * total)).alias("accepted"),
     )
 
 
@@ -165,25 +168,26 @@ def identify_pages(pages: DataFrame, model: dict) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """fuse() for documents: source stands for the host, lang for the declaration."""
+    """fuse() for documents: source stands for the host; lang, which models are fitted on, is no evidence."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("id"), "text", F.col("source").alias("host"), F.lit(None).cast("string").alias("domain"),
-        F.lit(None).cast("string").alias("suffix"), F.col("lang").alias("declared"),
+        F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("declared"),
     )
     return fuse(text_evidence(rows, model, False), model)
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, each by itself, whatever its id.
+    """The rows of docs that are not rejected, each by its own text and source, whatever its id.
 
-    The sample is drawn by id and text, as ids may be null or repeat.
+    Rows with equal texts and sources have equal evidence, so the verdict goes by a 64-bit hash
+    of the text, and the source. The sample is drawn by id and text, as ids may be null or
+    repeat.
     """
-    row = fresh_name(docs, "row_")
-    held = with_row_ids(docs, row)
-    model = fit(held.withColumn("doc_id", F.xxhash64("doc_id", "text")))
-    found = identify_documents(held.withColumn("doc_id", F.col(row)), model)
-    gone = stash(found.where(~F.col("accepted")).select("id"), "rejected")
-    return held.join(if_bounded(gone, "id", 1_000_000, 8 << 20), held[row] == gone["id"], "left_anti").select(docs.columns)
+    model = fit(docs.withColumn("doc_id", F.xxhash64("doc_id", "text")))
+    found = identify_documents(docs.withColumn("doc_id", F.xxhash64("text")), model)
+    gone, text, source = stash(found.where(~F.col("accepted")).select("id", "host").distinct(), "rejected"), docs["text"], docs["source"]
+    gone = if_bounded(gone, "id", 1_000_000, 8 << 20)
+    return docs.join(gone, (F.xxhash64(text) == gone["id"]) & source.eqNullSafe(gone["host"]), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

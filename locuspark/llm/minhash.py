@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import components, if_bounded, stash, table
+from locuspark.llm.common import components, if_bounded, slices, stash, table
 from locuspark.llm.shingles import set_digest, shingle_hashes
 
 #: Retained values that make lists, and values of a whole sketch; values in a run; the largest
@@ -42,7 +42,7 @@ EMPTY = np.uint32(0xFFFFFFFF)
 
 def _sketches(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sizes, digests, sketches = [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingle_hashes(text, words)
@@ -180,7 +180,7 @@ def _cross(batches, percent: int):
 
 def _full_sets(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             raw = [shingle_hashes(text, words).tobytes() for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], names=["id", "hashes"])
 
