@@ -4,8 +4,9 @@ Sources in code point order, null last, weigh 1, 2, 3, 1, ... and share the word
 documents in that proportion; no target exceeds three times its source's words, and the
 excess goes to the others by weight until none is above. Within a source, documents in the
 order of (size, doc_id) have equal expected copies, target / source size; their prefix sums
-plus one offset of the source cross integers, and each crossing emits the document once. The
-order by size makes neighbours alike, which keeps the words taken close to the target.
+plus one offset of the source cross integers, and each crossing emits the document once, but
+no document more than its expected copies rounded up, which bounds what rounding of the sums
+could add. The order by size makes neighbours alike, which keeps the words taken close to the target.
 
 Null texts have size 0; a source without words takes nothing. Rows alike in source, size and
 doc_id stand next to each other in that order and are counted like others.
@@ -53,7 +54,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def mix_counts(docs: DataFrame, *carried: str) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and carried for every row of docs."""
-    slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried)
+    # Stashed, as the range sort reads its input twice, and words are to be counted once.
+    slim = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carried), "sizes")
     sized = numbered(slim, F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id").asc_nulls_first(), *map(F.col, carried))
     sources = stash(source_targets(sized), "targets")
     rows = sized.join(if_bounded(sources, "source"), sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
