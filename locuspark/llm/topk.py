@@ -7,12 +7,13 @@ threshold / (|q| * longest of the bucket). Above 1 the query skips the bucket; i
 the bucket prunes by coordinates: the query's largest coordinate bounds what the same
 coordinate of a unit vector of that cosine may be; else it prunes by length: vectors shorter
 than threshold / |q| go. What is left is multiplied out in integers, and thresholds rise from
-bucket to bucket. Ties at a threshold stay, so ties to the smaller id are exact.
+bucket to bucket. Ties at a threshold stay, so ties to the smaller id are exact. Runs of buckets
+whose longest vector cannot reach any threshold of a block of queries are not shuffled to it.
 
 Components x count as floor(64 * x). Vectors that are null or hold null or non-finite
 components take no part; vectors of another dimension than the query's are no candidates; an
 empty or zero vector scores 0. Scores beyond 2 ** 53 are computed in Python integers and end
-at the bounds of a long. A repeated query id is asked once for each of its rows; a query's own
+at the bounds of a long. Rows with a null id take no part. A repeated query id is asked once for each of its rows; a query's own
 id is no candidate.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locuspark.llm.common import numbered, stash, table
+from locuspark.llm.common import if_bounded, numbered, stash, table
 from locuspark.llm.vectors import usable
 
 TOP, EVERY, SCALE, BUCKET, RUN, BLOCK, HIGH = 20, 20, 64, 4096, 8, 2048, 0.6
@@ -165,19 +166,32 @@ def _search(top: int):
     return run
 
 
-def _pass(queries: DataFrame, candidates: DataFrame, n_blocks: DataFrame, top: int) -> DataFrame:
-    """uid, query_id, vec_id, score: each query's best of each run of buckets."""
-    runs = candidates.select("n", "run").distinct()
-    asked = queries.join(runs, "n").select("n", "qblock", "run", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", "vec_id", "floor", "v")
-    given = (
-        candidates.join(n_blocks, "n")
-        .withColumn("qblock", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("n", "qblock", "run", F.lit(1).alias("kind"), "bucket", F.lit(0).cast("long").alias("uid"), "vec_id", F.lit(0.0).alias("floor"), "v")
+def _pass(queries: DataFrame, candidates: DataFrame, met: DataFrame, top: int) -> DataFrame:
+    """uid, query_id, vec_id, score: each query's best of each run of buckets.
+
+    met: n, qblock, run, the pairs of a block of queries and a run that can add to a result;
+    only they are shuffled.
+    """
+    met = if_bounded(met, "run")
+    asked = queries.join(met, ["n", "qblock"]).select("n", "qblock", "run", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("bucket"), "uid", "vec_id", "floor", "v")
+    given = candidates.join(met, ["n", "run"]).select(
+        "n", "qblock", "run", F.lit(1).alias("kind"), "bucket", F.lit(0).cast("long").alias("uid"), "vec_id", F.lit(0.0).alias("floor"), "v"
     )
     dealt = asked.union(given).repartition("n", "qblock", "run").sortWithinPartitions("n", "qblock", "run", "kind", "bucket", "uid")
     return dealt.mapInArrow(_search(top), "uid long, query_id long, vec_id long, score long")
 
 
+def _met(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Blocks of queries and runs of buckets whose longest vector can reach a threshold of the block.
+
+    A row a block, joined to a row a run; both are counts of thousands of vectors.
+    """
+    need = F.when(F.col("floor") <= 0, F.lit(float("-inf"))).when(F.col("length") > 0, F.col("floor") / F.col("length")).otherwise(F.lit(float("inf")))
+    blocks = queries.groupBy("n", "qblock").agg(F.min(need).alias("need"))
+    runs = candidates.groupBy("n", "run").agg(F.max("length").alias("longest"))
+    return stash(blocks.join(runs, "n").where(F.col("longest") * (1 + 1e-9) >= F.col("need")).select("n", "qblock", "run"), "met")
+
+
 def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame:
     """query_id, rank, vec_id and score for the rows whose vec_id is divisible by `every`."""
     rows = vectors.where(usable() | (F.size("embedding") == 0)).where("vec_id is not null")
@@ -200,19 +214,18 @@ def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> Data
     firsts = stash(ranked.groupBy("n").agg(F.min("place").alias("first")), "firsts")
     bucket = F.call_function("div", F.col("place") - F.col("first"), F.lit(BUCKET))
     held = stash(
-        ranked.join(firsts, "n").select("n", "vec_id", "v", F.col("place").alias("uid"), bucket.alias("bucket"), F.call_function("div", bucket, F.lit(RUN)).alias("run")),
+        ranked.join(firsts, "n").select("n", "vec_id", "v", "length", F.col("place").alias("uid"), bucket.alias("bucket"), F.call_function("div", bucket, F.lit(RUN)).alias("run")),
         "buckets",
     )
-    asked = numbered(held.where(F.pmod("vec_id", F.lit(every)) == 0).select("n", "vec_id", "v", "uid"), F.col("n"), F.col("uid"), name="q")
-    starts = asked.groupBy("n").agg(F.min("q").alias("q0"), F.max("q").alias("q1"))
-    n_blocks = stash(starts.select("n", "q0", (F.call_function("div", F.col("q1") - F.col("q0"), F.lit(BLOCK)) + 1).alias("blocks")), "blocks")
-    queries = asked.join(n_blocks, "n").select("n", F.call_function("div", F.col("q") - F.col("q0"), F.lit(BLOCK)).alias("qblock"), "uid", "vec_id", "v")
-    n_blocks = n_blocks.select("n", "blocks")
-    unbounded = queries.withColumn("floor", F.lit(float("-inf")))
-    longest = stash(_pass(unbounded, held.where("bucket = 0"), n_blocks, top), "longest")
+    asked = numbered(held.where(F.pmod("vec_id", F.lit(every)) == 0).select("n", "vec_id", "v", "length", "uid"), F.col("n"), F.col("uid"), name="q")
+    starts = asked.groupBy("n").agg(F.min("q").alias("q0"))
+    firsts = stash(starts.select("n", "q0"), "blocks")
+    queries = asked.join(firsts, "n").select("n", F.call_function("div", F.col("q") - F.col("q0"), F.lit(BLOCK)).alias("qblock"), "uid", "vec_id", "v", "length")
+    unbounded, head, rest = queries.withColumn("floor", F.lit(float("-inf"))), held.where("bucket = 0"), held.where("bucket > 0")
+    longest = stash(_pass(unbounded, head, _met(unbounded, head), top), "longest")
     floors = longest.groupBy("uid").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") >= top).select("uid", F.col("s").cast("double").alias("floor"))
-    bounded = queries.join(floors, "uid", "left").select("n", "qblock", "uid", "vec_id", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "v")
-    others = _pass(bounded, held.where("bucket > 0"), n_blocks, top)
+    bounded = queries.join(floors, "uid", "left").select("n", "qblock", "uid", "vec_id", "length", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"), "v")
+    others = _pass(bounded, rest, _met(bounded, rest), top)
     rank = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id"))
     return longest.union(others).withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
