@@ -44,7 +44,7 @@ from locuspark.llm.common import components, if_bounded, stash, table
 
 THRESHOLD, WIDTH, TILE, SEED, SCALE = 0.95, 16, 16384, 1, 32000
 #: Pairs of rows that are compared at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 19
 _rotations: dict[int, np.ndarray] = {}
 
 
@@ -187,20 +187,20 @@ def _linked(threshold: float):
         q = np.frombuffer(b"".join(x.column("q").to_pylist()), np.int16).reshape(-1, n)
         cut, most, room = blocks(n), budgets(n, threshold), sqrt(n) + 0.01
         own = q[:, cut[block]].astype(np.float32) / SCALE
-        squares = (own**2).sum(axis=1)
+        squares, one = (own**2).sum(axis=1)[:, None], np.ones((len(q), 1), np.float32)
+        # The product of these is the squared distance; of its pairs few are near.
+        left, right = np.hstack((own, squares, one)), np.hstack((-2 * own, one, squares))
         reach = most[block] / SCALE**2 + 1e-5
         starts = [b.start for b in cut]
         links, groups = np.zeros(len(q), np.int64), Groups(len(q))
         # side 2: both tiles are one; 0 and 1: a row meets the rows of the other tile.
         lefts, rights = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        step = max(AT_ONCE // max(len(rights), 1), 1)
+        step, facing = max(AT_ONCE // max(len(rights), 1), 1), np.ascontiguousarray(right[rights].T)
         for at in range(0, len(lefts), step):
             i = lefts[at : at + step]
-            near = squares[i][:, None] + squares[rights][None, :] - 2 * own[i] @ own[rights].T <= reach
-            near &= home[i][:, None] | home[rights][None, :]
-            a, b = np.nonzero(near)
-            a, b = i[a], rights[b]
-            once = (side[a] != 2) | (a < b)
+            near = np.flatnonzero(left[i] @ facing <= reach)
+            a, b = i[near // len(rights)], rights[near % len(rights)]
+            once = (home[a] | home[b]) & ((side[a] != 2) | (a < b))
             a, b = a[once], b[once]
             for part in range(0, len(a), 1 << 15):
                 p, r = a[part : part + (1 << 15)], b[part : part + (1 << 15)]
