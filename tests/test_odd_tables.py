@@ -1,8 +1,12 @@
 """Queries against their SQL on rows that the test tables lack."""
 
+from collections import Counter
+
 import duckdb
+from pyspark.sql import functions as F
 
 from locuspark import catalog
+from locuspark.functions import codes
 from tests.test_oracles import rows
 
 TEXTS = [None, "", "acgtACGT", "İ", "İİacg", "x" * 39 + "İacgt", "a\U0001F469‍\U0001F466CG", "éT", "ÅﬁK", "漢字", " \t\n", "a\r\nc", "héllo ~~!"]
@@ -26,3 +30,15 @@ def documents(spark, texts):
 def test_codes_of_empty_texts_and_long_lower_cases(spark, tmp_path):
     got = same_rows(spark, tmp_path, "char_codes", documents=documents(spark, TEXTS))
     assert {0, 1}.isdisjoint(got.doc_id) and got[got.doc_id == 3].n.tolist() == [1]
+
+
+def test_codes_of_whole_texts(spark, tmp_path):
+    got = same_rows(spark, tmp_path, "char_codes", documents=documents(spark, ["x" * 60 + "aACGT" * 50_000, "\U0001F469" * 70 + "Tt"]))
+    assert sorted(map(tuple, got[["doc_id", "code", "n"]].values.tolist())) == [(0, -1, 60), (0, 0, 100_000), (0, 1, 50_000), (0, 2, 50_000), (0, 3, 50_000), (1, -1, 70), (1, 3, 2)]
+
+
+def test_code_counts_are_those_of_codes(spark):
+    texts = spark.createDataFrame([(t,) for t in [*TEXTS, "a]b^c-d\\e&&[[", "^^-]"]], "t string")
+    for letters in ("acgtACGT", "]^-\\&[", "T"):
+        for r in texts.select(codes.char_codes(F.col("t"), letters).alias("each"), codes.code_counts(F.col("t"), letters).alias("n")).collect():
+            assert dict(r.n) == Counter(r.each or [])
