@@ -42,3 +42,12 @@ def test_code_counts_are_those_of_codes(spark):
     for letters in ("acgtACGT", "]^-\\&[", "T"):
         for r in texts.select(codes.char_codes(F.col("t"), letters).alias("each"), codes.code_counts(F.col("t"), letters).alias("n")).collect():
             assert dict(r.n) == Counter(r.each or [])
+
+
+def test_packed_counts_at_the_limits_of_their_bits(spark, tmp_path):
+    # On contig 0, the reference has A at 0, T at 1, 5 and 9, and G at 2 and 6.
+    reads = {0: 5000, 1: 300, 5: 255, 9: 256, 2: 4096, 6: 4095}
+    lines = [("R", "F", 1, 1, pos, 3, 30.0, 0.05) for pos, n in reads.items() for _ in range(n)]
+    table = spark.createDataFrame(lines, "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double")
+    got = same_rows(spark, tmp_path, "pack_counts", lineitem=table)
+    assert sorted(zip(got.pos, got.c0, got.c1, got.c2, got.c3)) == [(0, 5000, 0, 0, 0), (5, 0, 0, 0, 255), (6, 0, 0, 4095, 0)]
