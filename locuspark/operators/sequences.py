@@ -58,7 +58,8 @@ def quality_flavours(records: DataFrame, *keys: str) -> DataFrame:
 
 def recode_quality(qual: Column, shift: int) -> Column:
     """Every quality character moved by shift, not below the code 0."""
-    return F.array_join(F.transform(F.split(qual, ""), lambda c: F.chr(F.greatest(F.lit(0), F.ascii(c) + shift).cast("long"))), "")
+    moved = F.transform(F.split(qual, ""), lambda c: F.chr(F.greatest(F.lit(0), F.ascii(c) + shift).cast("long")))
+    return F.when(qual == "", qual).otherwise(F.array_join(moved, ""))
 
 
 def flavour(fits: DataFrame, *keys: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from locuspark import catalog
 from locuspark.functions import codes
+from locuspark.operators import sequences
 from tests.test_oracles import rows
 
 TEXTS = [None, "", "acgtACGT", "İ", "İİacg", "x" * 39 + "İacgt", "a\U0001F469‍\U0001F466CG", "éT", "ÅﬁK", "漢字", " \t\n", "a\r\nc", "héllo ~~!"]
@@ -51,3 +52,10 @@ def test_packed_counts_at_the_limits_of_their_bits(spark, tmp_path):
     table = spark.createDataFrame(lines, "l_returnflag string, l_linestatus string, l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double")
     got = same_rows(spark, tmp_path, "pack_counts", lineitem=table)
     assert sorted(zip(got.pos, got.c0, got.c1, got.c2, got.c3)) == [(0, 5000, 0, 0, 0), (5, 0, 0, 0, 255), (6, 0, 0, 4095, 0)]
+
+
+def test_recoded_qualities_of_empty_texts(spark, tmp_path):
+    got = same_rows(spark, tmp_path, "fastq_recode", documents=documents(spark, TEXTS[1:]))
+    assert got.set_index("doc_id").n.loc[[0, 1, 2, 9]].tolist() == [0, 8, 0, 0]
+    recoded = spark.createDataFrame([("",), (None,), ("!@~",)], "q string").select(sequences.recode_quality(F.col("q"), -40).alias("q"))
+    assert [r.q for r in recoded.collect()] == ["", None, "\0" + chr(24) + chr(86)]
